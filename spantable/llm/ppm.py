@@ -6,7 +6,9 @@ space before the word included and nothing beyond it. PPM takes the longest
 context that training has seen, gives its symbols count / (total + distinct)
 and the escape distinct / (total + distinct) (method C), and goes on with the
 next shorter context without the symbols that the longer one has ruled out;
-below order 0 all bytes left over are equally likely.
+below order 0 all bytes left over are equally likely. There is one trie for
+each of the most frequent languages that training documents state, and one for
+the rest; a document's probability is the mixture of what these say.
 
 Pretrained scoring never holds the corpus model in one place. Texts are cut
 into blocks. A block asks for what it needs, the counts of its distinct words
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship, stage
@@ -34,6 +36,8 @@ START = b"\0\0\0 "
 END_GRAM = int.from_bytes(START + bytes((END,)), "big")
 #: Bytes of text in a block, unless one text alone has more.
 BLOCK_BYTES = 16 << 20
+#: Languages with a trie of their own, those of most training documents.
+LANGUAGES = 8
 
 
 class AdaptivePpm:
@@ -94,45 +98,54 @@ class _Index(dict):
         return n
 
 
-def _blocks(docs: DataFrame, held, block_bytes: int) -> DataFrame:
-    """One row a block: its documents as numbers of its words, its words and 5-grams with their training counts."""
-    fields = [("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("word_train", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("gram_train", pa.list_(pa.int64()))]
+def _blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
+    """One row a block: its documents as numbers of its words, its words and, by class, its 5-grams with their training counts.
+
+    docs: doc_id, text, held, class (a number below classes).
+    """
+    many = [(f"train_{k}", pa.list_(pa.int64())) for k in range(classes)]
+    fields = [("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("word_train", pa.list_(pa.int64())), ("class_docs", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), *many]
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 32, 0
-        index, ids, outs, tokens = _Index(), [], [], []
+        index, ids, outs, of, tokens = _Index(), [], [], [], []
 
         def close() -> pa.RecordBatch:
             ws = list(index)
-            learn = [t for t, h in zip(tokens, outs) if not h]
-            train = np.bincount(np.concatenate(learn), minlength=len(ws)) if learn else np.zeros(len(ws), np.int64)
             code, owner = _grams(ws)
             grams, which = np.unique(np.append(code, END_GRAM), return_inverse=True)
-            counts = np.bincount(which, np.append(train[owner], len(learn)), len(grams)).astype(np.int64)
+            train, counts, seen = np.zeros(len(ws), np.int64), [], []
+            for k in range(classes):
+                learn = [t for t, h, c in zip(tokens, outs, of) if c == k and not h]
+                n = np.bincount(np.concatenate(learn), minlength=len(ws)) if learn else np.zeros(len(ws), np.int64)
+                counts.append(np.bincount(which, np.append(n[owner], len(learn)), len(grams)).astype(np.int64))
+                seen.append(len(learn))
+                train += n
             flat = np.concatenate(tokens).astype("<i4").tobytes() if tokens else b""
-            row = [block, ids, outs, [len(t) for t in tokens], zlib.compress(flat, 1), ws, train, grams, counts]
+            row = [block, ids, outs, [len(t) for t in tokens], zlib.compress(flat, 1), ws, train, seen, grams, *counts]
             return pa.RecordBatch.from_arrays([pa.array([x], f[1]) for x, f in zip(row, fields)], schema=schema)
 
         for b in batches:
             texts = b.column("text")
-            for i, d in enumerate(b.column("doc_id").to_pylist()):
+            for i, (d, h, c) in enumerate(zip(*(b.column(x).to_pylist() for x in ("doc_id", "held", "class")))):
                 w = words(texts[i].as_py())
                 n = sum(map(len, w))
                 if ids and size + n > block_bytes:
                     yield close()
                     block, size = block + 1, 0
-                    index, ids, outs, tokens = _Index(), [], [], []
+                    index, ids, outs, of, tokens = _Index(), [], [], [], []
                 ids.append(d)
-                outs.append(held(d))
+                outs.append(h)
+                of.append(c)
                 tokens.append(np.fromiter(map(index.__getitem__, w), np.int64, len(w)))
                 size += n
         if ids:
             yield close()
 
-    spark_fields = "block long, docs array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<binary>, word_train array<long>, grams array<long>, gram_train array<long>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(cut, spark_fields), "ppm-blocks")
+    spark_fields = "block long, docs array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<binary>, word_train array<long>, class_docs array<long>, grams array<long>"
+    spark_fields += "".join(f", train_{k} array<long>" for k in range(classes))
+    return stage(docs.mapInArrow(cut, spark_fields), "ppm-blocks")
 
 
 def gram_probabilities(gram: np.ndarray, n: np.ndarray, order1: np.ndarray) -> np.ndarray:
@@ -186,8 +199,8 @@ def gram_probabilities(gram: np.ndarray, n: np.ndarray, order1: np.ndarray) -> n
     return p
 
 
-def score(docs: DataFrame, held=lambda doc_id: False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs(doc_id, text) scored by a PPM model and by add-one unigrams, both trained on documents that are not held out.
+def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_BYTES, languages: int = LANGUAGES) -> DataFrame:
+    """docs(doc_id, text, lang) scored by a PPM model and by add-one unigrams, both trained on rows where held is not true.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens (longs),
     base_score and score (log10 probabilities). Tokens are words and one end a
@@ -195,72 +208,87 @@ def score(docs: DataFrame, held=lambda doc_id: False, block_bytes: int = BLOCK_B
     counted per block, and these counts are summed by shuffles. A hot word
     comes once from each block. A task holds one block with its words and
     5-grams, or the 5-grams of one two-byte context, of which there can be
-    2^24 at most. The only table that goes to the driver has 65,536 counts.
+    2^24 at most. The only tables that go to the driver have 65,536 counts for
+    each class. lang is read of training documents only.
 
-    Null text: empty, one token. Null doc_id: held() gets None. Rows that
-    repeat an id are documents of their own. Empty table: no rows. Without
-    training documents all bytes are equally likely. Extra columns are ignored.
+    Null text: empty, one token. Null doc_id: kept. Null lang, or no such
+    column: the class of the rest. Rows that repeat an id are documents of
+    their own. Empty table: no rows. Without training documents all bytes are
+    equally likely. Extra columns are ignored.
     """
     ship(docs.sparkSession)
-    blocks = _blocks(docs, held, block_bytes)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    held = F.coalesce(held, F.lit(False)) if held is not None else F.lit(False)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"), lang.alias("lang"))
+    top = rows.filter("not held and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    classes = len(top) + 1
+    number = F.lit(classes - 1)
+    for k, r in enumerate(top):
+        number = F.when(F.col("lang") == r["lang"], k).otherwise(number)
+    blocks = _blocks(rows.select("doc_id", "text", "held", F.coalesce(number, F.lit(classes - 1)).alias("class")), classes, block_bytes)
     # words: one window over the counts that blocks hold
     per = blocks.select("block", F.posexplode(F.arrays_zip("words", "word_train")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.word_train").alias("n"))
     same = Window.partitionBy("word")
     counted = per.select("block", "pos", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")).filter("c > 0")
     counted = stage(counted, "ppm-words")
-    train_docs = blocks.select(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    class_docs = [x or 0 for x in blocks.agg(*[F.sum(F.col("class_docs")[k]) for k in range(classes)]).first()]
+    train_docs = sum(class_docs)
     v, n = counted.filter("first").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = v + (train_docs > 0), n + train_docs
     # 5-grams: summed, scored by two-byte context, sent back to the blocks that have them
-    asked = blocks.select("block", F.explode(F.arrays_zip("grams", "gram_train")).alias("g")).select("block", F.col("g.grams").alias("gram"), F.col("g.gram_train").alias("n"))
-    grams = stage(asked.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    order1 = np.zeros((256, 256), np.int64)
-    for r in grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect():
-        order1[r["k"] >> 8, r["k"] & 255] = r["n"]
+    trains = [f"train_{k}" for k in range(classes)]
+    held_by = blocks.select("block", F.explode(F.arrays_zip("grams", *trains)).alias("g")).select("block", F.col("g.grams").alias("gram"), *[F.col(f"g.{t}").alias(t) for t in trains])
+    grams = stage(held_by.groupBy("gram").agg(*[F.sum(t).alias(t) for t in trains]), "ppm-grams")
+    order1 = np.zeros((classes, 256, 256), np.int64)
+    for r in grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(*[F.sum(t).alias(t) for t in trains]).collect():
+        order1[:, r["k"] >> 8, r["k"] & 255] = r[1:]
 
     def probabilities(t: pa.Table) -> pa.Table:
         gram = t["gram"].to_numpy()
-        return pa.table({"gram": pa.array(gram, pa.int64()), "p": pa.array(gram_probabilities(gram, t["n"].to_numpy(), order1))})
+        p = [pa.array(gram_probabilities(gram, t[c].to_numpy(), order1[k])) for k, c in enumerate(trains)]
+        return pa.Table.from_arrays([pa.array(gram, pa.int64()), *p], names=["gram", *ps])
 
+    ps = [f"p{k}" for k in range(classes)]
     anchor = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    scored = stage(grams.groupBy(anchor.alias("anchor")).applyInArrow(probabilities, "gram long, p double"), "ppm-scores")
-    found = asked.select("block", "gram").join(scored, "gram")
-    answers = counted.select("block", F.col("pos").cast("long").alias("key"), F.col("c").cast("double").alias("x"), F.lit(True).alias("word"))
-    answers = answers.union(found.select("block", "gram", "p", F.lit(False)))
+    scored = stage(grams.groupBy(anchor.alias("anchor")).applyInArrow(probabilities, ", ".join(["gram long", *(f"{p} double" for p in ps)])), "ppm-scores")
+    asked = blocks.select("block", F.explode("grams").alias("gram"))
+    answers = counted.select("block", F.col("pos").cast("long").alias("key"), "c", *[F.lit(None).cast("double").alias(p) for p in ps])
+    answers = answers.union(asked.join(scored, "gram").select("block", "gram", F.lit(None).cast("long"), *ps))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])))
     base = float(n + v + 1)
+    prior = np.log10((np.array(class_docs) + 1) / (train_docs + classes))
 
     def finish(block: pa.Table, reply: pa.Table) -> pa.Table:
         out = []
+        is_word = reply["c"].is_valid().to_numpy()
+        words_of, grams_of = reply.filter(pa.array(is_word)), reply.filter(pa.array(~is_word))
         for row in block.to_pylist():
-            is_word = reply["word"].to_numpy()
-            key, x = reply["key"].to_numpy(), reply["x"].to_numpy()
             c = np.zeros(len(row["words"]))
-            c[key[is_word]] = x[is_word]
-            gram, p = key[~is_word], x[~is_word]
+            c[words_of["key"].to_numpy()] = words_of["c"].to_numpy()
+            gram = grams_of["key"].to_numpy()
             order = np.argsort(gram)
-            gram, p = gram[order], p[order]
+            gram = gram[order]
             code, owner = _grams(row["words"])
-            ppm = np.bincount(owner, p[np.searchsorted(gram, code)], len(c)) if len(c) else c
-            unigram, end = np.log10((c + 1) / base), p[np.searchsorted(gram, END_GRAM)]
+            at, end = np.searchsorted(gram, code), np.searchsorted(gram, END_GRAM)
+            p = [grams_of[x].to_numpy()[order] for x in ps]
+            by_word = np.stack([np.bincount(owner, x[at], len(c)) if len(c) else c for x in p], 1)
+            ends = np.array([x[end] for x in p]) + prior
+            unigram = np.log10((c + 1) / base)
             tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4")
             at = 0
             for d, h, m in zip(row["docs"], row["held"], row["lengths"]):
                 t = tokens[at : at + m]
                 at += m
-                out.append((d, h, m + 1, int(np.count_nonzero(c[t])) + (train_docs > 0), n, float(unigram[t].sum() + np.log10((train_docs + 1) / base)), float(ppm[t].sum() + end)))
+                x = by_word[t].sum(0) + ends
+                mixed = x.max() + np.log10((10 ** (x - x.max())).sum())
+                out.append((d, h, m + 1, int(np.count_nonzero(c[t])) + (train_docs > 0), n, float(unigram[t].sum() + np.log10((train_docs + 1) / base)), float(mixed)))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(len(names))], schema=schema)
 
     body = blocks.select("block", "docs", "held", "lengths", "tokens", "words")
     return body.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def in_seventh(doc_id: int | None) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
-
-
 def query(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), in_seventh)
-
-
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), held)
