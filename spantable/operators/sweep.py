@@ -72,11 +72,11 @@ def merge(*tracks: DataFrame, how: str = "sum", clip: float | None = None, adjus
     if how == "max":
         pieces = out.select("chrom", "s", "e")
         hit = overlap_join(pieces, every.filter("s < e"), width=width)
-        out = join_runs(hit.groupBy("chrom", "s", "e").agg(F.max("r_v").alias("v")), stride)
-    out = out.filter("v <> 0").select("chrom", "s", "e", "v")
-    if clip is not None or adjust:
-        v = F.least("v", F.lit(float(clip))) if clip is not None else F.col("v")
-        out = join_runs(out.withColumn("v", v + F.lit(float(adjust))), stride)
+        out = hit.groupBy("chrom", "s", "e").agg(F.max("r_v").alias("v"))
+    v = F.least("v", F.lit(float(clip))) if clip is not None else F.col("v")
+    out = out.filter("v <> 0").select("chrom", "s", "e", (v + F.lit(float(adjust))).alias("v"))
+    # where one track ends as another of the same value begins, the sum goes on but the count changes
+    out = join_runs(out, stride)
     return out if threshold is None else out.filter(F.col("v") > threshold)
 
 
