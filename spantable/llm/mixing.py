@@ -62,18 +62,18 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, epochs: f
     decision. Empty table: no rows. Other columns pass through; columns named
     mix_* are replaced.
     """
-    docs = docs.select([c for c in docs.columns if not c.startswith("mix_")])
+    docs = docs.select([c for c in docs.columns if not c.startswith(("mix_", "_mix_plan"))])
     keyed = docs.withColumns({"mix_size": n_words(F.col("text")), "mix_key": _key(F.col("doc_id"), seed)})
     rows = stage(keyed.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_key").alias("key")), "mix-rows")
     plan = _plan(rows, share, weights, epochs)
     at = F.struct(F.col("mix_key").alias("key"), "doc_id", F.col("mix_size").alias("size"))
-    bucket = _bucket(F.col("mix_key"), F.col("plan.buckets"))
-    extra = (bucket < F.col("plan.edge")) | ((bucket == F.col("plan.edge")) & F.coalesce(at <= F.col("plan.last"), F.lit(False))) | F.coalesce(at == F.col("plan.best"), F.lit(False))
-    out = keyed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.plan.source"))).select("d.*", "p.plan")
+    bucket = _bucket(F.col("mix_key"), F.col("_mix_plan.buckets"))
+    extra = (bucket < F.col("_mix_plan.edge")) | ((bucket == F.col("_mix_plan.edge")) & F.coalesce(at <= F.col("_mix_plan.last"), F.lit(False))) | F.coalesce(at == F.col("_mix_plan.best"), F.lit(False))
+    out = keyed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p._mix_plan.source"))).select("d.*", "p._mix_plan")
     return (
-        out.withColumn("mix_copies", (F.col("plan.whole") + extra.cast("long")).cast("long"))
-        .withColumns({"mix_source_size": F.col("plan.source_size"), "mix_target": F.col("plan.target"), "mix_taken": F.col("mix_copies") * F.col("mix_size")})
-        .drop("plan", "mix_key")
+        out.withColumn("mix_copies", (F.col("_mix_plan.whole") + extra.cast("long")).cast("long"))
+        .withColumns({"mix_source_size": F.col("_mix_plan.source_size"), "mix_target": F.col("_mix_plan.target"), "mix_taken": F.col("mix_copies") * F.col("mix_size")})
+        .drop("_mix_plan", "mix_key")
     )
 
 
@@ -131,7 +131,7 @@ def _plan(rows: DataFrame, share: float, weights: tuple, epochs: float) -> DataF
         .select(F.col("source").alias("s"), F.col("b.at").alias("best"))
     )
     out = targets.join(best, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    return stage(out.select(F.struct("source", "source_size", "target", "whole", "buckets", "edge", "last", "best").alias("plan")), "mix-plan")
+    return stage(out.select(F.struct("source", "source_size", "target", "whole", "buckets", "edge", "last", "best").alias("_mix_plan")), "mix-plan")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
