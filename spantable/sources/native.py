@@ -32,7 +32,8 @@ SIGNAL_MAGIC, FEATURE_MAGIC, NAMES_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x8789F2EB,
 HEADER, ZOOM_HEADER, SUMMARY = "IHHQQQHHQQIQ", "IIQQ", "Q4d"
 NAMES_HEADER, INDEX_HEADER, NODE = "IIIIQQ", "IIQIIIIQII", "BBH"
 SECTION = "IIIIIBBH"
-ZOOM_SCHEMA = "chrom string, s long, e long, items long, bases long, min double, max double, sum double, sum_squares double"
+PLACE = [("chrom", T.StringType()), ("s", T.LongType()), ("e", T.LongType())]
+ZOOM_FIELDS = [*((c, T.LongType()) for c in ("items", "bases")), *((c, T.DoubleType()) for c in ("min", "max", "sum", "sum_squares"))]
 BLOCKS_PER_PARTITION = 512
 
 
@@ -248,9 +249,10 @@ class NativeTrack(DataSource):
 
     def schema(self) -> T.StructType:
         if "zoom" in self.options:
-            return T.StructType.fromDDL(ZOOM_SCHEMA)
-        kind = NativeFile(self.options["path"]).kind
-        return T.StructType.fromDDL("chrom string, s long, e long, " + ("v double" if kind == "signal" else "rest string"))
+            more = ZOOM_FIELDS
+        else:
+            more = [("v", T.DoubleType())] if NativeFile(self.options["path"]).kind == "signal" else [("rest", T.StringType())]
+        return T.StructType([T.StructField(*x) for x in [*PLACE, *more]])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self.options["path"], int(self.options["zoom"]) if "zoom" in self.options else None, int(self.options.get("blocksperpartition", BLOCKS_PER_PARTITION)))
