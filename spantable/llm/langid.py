@@ -79,9 +79,12 @@ class Model:
         if not ws:
             return np.zeros((0, len(self.languages))), scripts
         bucket, owner = _buckets(ws)
-        out = np.stack([np.bincount(owner, self.table[bucket, i], len(ws)) for i in range(len(self.languages))], 1)
+        out = np.zeros((len(ws), len(self.languages)))
+        for i in range(len(self.languages)):
+            out[:, i] = np.bincount(owner, self.table[bucket, i], len(ws))
         fits = self.uses[scripts]
-        out -= FOREIGN * (~fits & fits.any(1, keepdims=True))
+        if self.languages:
+            out -= FOREIGN * (~fits & fits.any(1, keepdims=True))
         out[scripts < 0] = 0
         return out, scripts
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spantable.llm import langid, packing, ppm, quality, simhash, tokens, wavelet, wordpiece
 
@@ -209,8 +210,8 @@ def test_isotonic():
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     out = quality.held_out(0, 5)
-    model = quality.fit(docs, labels.filter(~out(labels["doc_id"])))
-    got = quality.classify(docs, model).join(labels, "doc_id").filter(out(docs["doc_id"])).select("quality_score", "quality_predicted", "quality").collect()
+    model = quality.fit(docs, labels.filter(~out(F.col("doc_id"))))
+    got = quality.classify(docs, model).join(labels, "doc_id").filter(out(F.col("doc_id"))).select("quality_score", "quality_predicted", "quality").collect()
     good, bad = ([r["quality_score"] for r in got if r["quality"] == q] for q in (1, 0))
     assert len(bad) > 5 and np.mean([[g > b for b in bad] for g in good]) > 0.95
     assert np.mean([r["quality_predicted"] == r["quality"] for r in got]) > 0.93
@@ -242,7 +243,7 @@ def test_viterbi():
 
 def test_languages(spark, odd):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    held = quality.held_out(2, 4)(docs["doc_id"])
+    held = quality.held_out(2, 4)(F.col("doc_id"))
     model = langid.fit(docs.filter(~held))
     got = langid.detect(docs.filter(held).drop("n_chars"), model).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.98
@@ -265,9 +266,9 @@ def test_scripts_narrow():
 
 
 def test_lm_scores(spark, odd):
-    docs = odd.filter("doc_id is null or doc_id <> 108").unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 25").withColumn("doc_id", (odd["doc_id"] * 0 + 1000) if False else __import__("pyspark").sql.functions.col("doc_id") + 1000))
-    held = __import__("pyspark").sql.functions.expr("crc32(cast(doc_id as string)) % 7 = 2")
-    rows = docs.withColumn("h", __import__("pyspark").sql.functions.coalesce(held, __import__("pyspark").sql.functions.lit(False))).collect()
+    docs = odd.filter("doc_id is null or doc_id <> 108").unionByName(spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 25").withColumn("doc_id", F.col("doc_id") + 1000))
+    held = F.expr("crc32(cast(doc_id as string)) % 7 = 2")
+    rows = docs.withColumn("h", F.coalesce(held, F.lit(False))).collect()
     train = Counter(w for r in rows if not r["h"] for w in ppm.words(r["text"]))
     n_docs = sum(not r["h"] for r in rows)
     n, v = sum(train.values()) + n_docs, len(train) + 1
