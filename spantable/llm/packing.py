@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship, stage
+from spantable.llm.text import take_over
 from spantable.llm.tokens import END, TOKENIZER, word_tokens
 
 WINDOW = 4096
@@ -36,7 +38,7 @@ class Bm25Shard:
         length = np.array([len(d) for d in docs], float)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / max(mean_length, 1.0)))
         self.term, self.weight = term, weight
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term.astype(np.uint16) if len(idf) <= 1 << 16 else term, kind="stable")  # 16 bits: radix sort
         self.owner, self.score = owner[by_term], weight[by_term]
         self.first = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
 
@@ -50,6 +52,17 @@ class Bm25Shard:
         return np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), self.n)
 
 
+def _best_first(score: np.ndarray, n: int, first: int = 64) -> Iterator[int]:
+    """The n places of greatest score, best first, equal ones by place; the rest is only ordered when it is asked for."""
+    if n > first:
+        bar = np.partition(score, len(score) - first)[len(score) - first]
+        top = np.flatnonzero(score > bar)
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        yield from np.argsort(-score, kind="stable")[len(top) : n].tolist()
+    else:
+        yield from np.argsort(-score, kind="stable")[:n].tolist()
+
+
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of pieces (document, start, length).
 
@@ -84,8 +97,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             if not room or rest:
                 break
             if not ranked:
-                score = np.where(unused, index.scores(seed), -1.0)
-                queue, ranked = iter(np.argsort(-score, kind="stable")[: np.count_nonzero(unused)].tolist()), True
+                queue, ranked = _best_first(np.where(unused, index.scores(seed), -1.0), int(np.count_nonzero(unused))), True
             nxt = next(queue, None)
             if nxt is None:
                 break
@@ -110,14 +122,15 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
 
 def _encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("tokens")
         enc = word_tokens(tokenizer, end)
         for b in batches:
             texts = b.column("text")
             for at in range(0, b.num_rows, 1024):
-                part = [enc.encode(texts[i].as_py()) for i in range(at, min(at + 1024, b.num_rows))]
+                part = [enc.encode(x) for x in texts.slice(at, 1024).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 1024), pa.array([x.tobytes() for x in part], pa.binary()), pa.array([len(x) for x in part], pa.int64())], names=["doc_id", "ids", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return stage(rows.mapInArrow(encode, "doc_id long, ids binary, n long"), "packing-ids")
 
 
@@ -143,7 +156,8 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
 
     Every document, null text as empty, is its ids and the end id. Documents
     are dealt by range of their two heaviest terms and doc_id, so those about
-    the same things meet, and a hot term is split by doc_id. A task reads its
+    the same things meet, and a hot term is split by doc_id; the ranges come
+    from a sample that is bounded by their number. A task reads its
     range in shards, builds a BM25 index over each, with document frequencies
     and mean length of the whole corpus, and packs it (see pack_shard). Nothing
     is padded. Rows that repeat a doc_id, or lack it, are documents of their
@@ -157,15 +171,25 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
     df = document_frequencies(rows, size, dtype)
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), float(mean or 1)
 
-    def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def heaviest(x: pa.Scalar) -> tuple[int, int]:
+        t, tf = np.unique(np.frombuffer(x.as_buffer(), dtype), return_counts=True)
+        length = int(tf.sum())
+        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        i = int(w.argmax())
+        w[i] = -1
+        return int(t[i]), int(t[w.argmax()])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their two heaviest terms and the range that they lie in."""
         for b in batches:
-            top = np.zeros((2, b.num_rows), np.int64)
-            for i, x in enumerate(b.column("ids")):
-                t, tf = np.unique(np.frombuffer(x.as_buffer(), dtype), return_counts=True)
-                w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))
-                best = np.argsort(-w, kind="stable")[:2]
-                top[:, i] = t[best[0]], t[best[-1]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top[0]), pa.array(top[1])], names=[*b.schema.names, "t1", "t2"])
+            top = [heaviest(x) for x in b.column("ids")]
+            part = [bisect.bisect_right(bounds, (*k, _low(d))) for k, d in zip(top, b.column("doc_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in top], pa.int64()) for i in (0, 1)), pa.array(part, pa.int32())], names=["doc_id", "ids", "t1", "t2", "part"])
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            top = [heaviest(x) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), *(pa.array([k[i] for k in top], pa.int64()) for i in (0, 1))], names=["doc_id", "n", "t1", "t2"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, ids, held, total = TaskContext.get().partitionId() << 40, [], [], 0
@@ -202,12 +226,25 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
         if held:
             yield from flush()
 
-    dealt = rows.select("doc_id", "ids").mapInArrow(heaviest, "doc_id long, ids binary, t1 long, t2 long")
-    order = ["t1", "t2", F.col("doc_id").asc_nulls_first()]
-    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges of about equal numbers of tokens, from a sample of 64 documents a range
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.sample(min(1.0, 64.0 * parts / max(n, 1)), seed=1).mapInArrow(sampled, "doc_id long, n long, t1 long, t2 long").collect()
+    bounds: list[tuple[int, int, int]] = []
+    some.sort(key=lambda r: (r["t1"], r["t2"], _low(r["doc_id"])))
+    total, so_far = sum(r["n"] for r in some), 0
+    for r in some:
+        so_far += r["n"]
+        if len(bounds) + 1 < parts and so_far * parts >= total * (len(bounds) + 1):
+            bounds.append((r["t1"], r["t2"], _low(r["doc_id"])))
+    dealt = rows.select("doc_id", "ids").mapInArrow(place, "doc_id long, ids binary, t1 long, t2 long, part int")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("t1", "t2", F.col("doc_id").asc_nulls_first())
     return dealt.select("doc_id", "ids").mapInArrow(fill, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
+def _low(doc_id: int | None) -> int:
+    return -(1 << 63) if doc_id is None else doc_id
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return digest(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ FOLD = {**{c: c + 32 for c in range(65, 91)}, **dict.fromkeys((9, 10, 11, 12, 13
 FOLD_BYTES = bytes(FOLD.get(i, i) for i in range(256))
 
 
+_owner: list[str] = []
+_forget: list[Callable[[], None]] = []
+
+
+def take_over(owner: str) -> None:
+    """Called in a worker when an operator begins: what another operator remembered there is freed."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for f in _forget:
+            f()
+
+
+def forget_with(f: Callable[[], None]) -> None:
+    """Register what frees an operator's memory of words."""
+    _forget.append(f)
+
+
 def n_words(text: Column) -> Column:
     """Words in a text, as a long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,11 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from spantable.llm.text import forget_with
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 1 << 18
+#: Words, and parts of words, that a worker remembers in each of two generations.
+REMEMBERED, PARTS = 1 << 18, 1 << 19
 
 # Bytes as byte-level BPE writes them: printable Latin-1 characters stand for themselves, the rest follows from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,8 +39,11 @@ class _Words(dict):
         super().__init__()
         self.encode, self.older = encode, older
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = self.older.get(word) or self.encode(word)
+    def __missing__(self, word: bytes | str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
         return found
 
 
@@ -65,7 +69,8 @@ class WordTokens:
         self.special = tuple(x["content"] for x in say.get("added_tokens", []))
         self.end = b"" if end is None else self.dtype.type(end).tobytes()
         self.model = self.tok.model
-        self.parts: dict[str, bytes] = {}
+        self.small = [self.dtype.type(i).tobytes() for i in range(self.tok.get_vocab_size())]
+        self.parts = _Words(self._part, {})
         self.words = _Words(self._word, {})
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -75,27 +80,28 @@ class WordTokens:
         return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: bytes) -> bytes:
+        """A word's ids: by its parts, where these are easy to tell, else as the library has it."""
+        if word.isalpha():  # ASCII letters only
+            return self.parts[word.lower().decode()]
         text = word.decode("utf-8", "surrogatepass")
-        if not _EASY.fullmatch(text) or any(s in text for s in self.special):
+        if not _EASY.fullmatch(text) or "<" in text and any(s in text for s in self.special):
             return self._library(text.encode("utf-8", "replace").decode())
-        out = []
-        for part in _PART.findall(text.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = self._bytes([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE))])
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> np.ndarray:
+        return b"".join([self.parts[p] for p in _PART.findall(text.lower())])
+
+    def _part(self, part: str) -> bytes:
+        small = self.small
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE)
+        return b"".join([small[t.id] for t in self.model.tokenize(shown)])
+
+    def encode(self, text: str | bytes | None) -> np.ndarray:
         """The ids of a text, None as empty, and the end id."""
         if not self.by_word:
-            return np.frombuffer(self._library(text or "") + self.end, self.dtype)
+            return np.frombuffer(self._library(text.decode() if isinstance(text, bytes) else text or "") + self.end, self.dtype)
         if len(self.words) > REMEMBERED:
             self.words = _Words(self._word, dict(self.words))
-        data = (text or "").encode("utf-8", "surrogatepass")
+        if len(self.parts) > PARTS:
+            self.parts = _Words(self._part, dict(self.parts))
+        data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
         return np.frombuffer(b"".join(map(self.words.__getitem__, data.split())) + self.end, self.dtype)
 
 
@@ -103,3 +109,6 @@ class WordTokens:
 def word_tokens(path: str, end: int | None) -> WordTokens:
     """One encoder a worker: its memory of words serves all its tasks."""
     return WordTokens(path, end)
+
+
+forget_with(word_tokens.cache_clear)
