@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from spantable.cluster import ship, stage
-from spantable.llm.text import words
+from spantable.llm.text import take_over, words
 
 #: Documents of each language that the fit uses, about: they are drawn by a hash at this rate.
 DOCS_PER_LANGUAGE = 4000
@@ -22,7 +22,7 @@ BUCKETS = 1 << 16
 SWITCH = 6.0
 FOREIGN = 30.0
 UNKNOWN = "und"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, CHUNK = 4 << 20, 1 << 14
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("lang", StringType()))
 
 # Ranges of the main scripts, fixed values of the Unicode block list.
@@ -78,10 +78,12 @@ class Model:
         scripts = np.fromiter((0 if w.isalpha() else script(w) for w in ws), np.int64, len(ws))
         if not ws:
             return np.zeros((0, len(self.languages))), scripts
-        bucket, owner = _buckets(ws)
         out = np.zeros((len(ws), len(self.languages)))
-        for i in range(len(self.languages)):
-            out[:, i] = np.bincount(owner, self.table[bucket, i], len(ws))
+        for at in range(0, len(ws), CHUNK):  # their n-grams are many
+            part = ws[at : at + CHUNK]
+            bucket, owner = _buckets(part)
+            for i in range(len(self.languages)):
+                out[at : at + CHUNK, i] = np.bincount(owner, self.table[bucket, i], len(part))
         fits = self.uses[scripts]
         if self.languages:
             out -= FOREIGN * (~fits & fits.any(1, keepdims=True))
@@ -215,6 +217,7 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH, text_col: str
         return out
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("languages")
         for b in batches:
             out, held, size = [], [], 0
             for t in b.column(text_col):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from spantable.cluster import ship, stage
+from spantable.llm.text import take_over
 
 #: Labelled rows that the fit uses at most: those of the least hashes.
 MAX_TRAIN = 20_000
@@ -168,6 +169,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
     schema = StructType(list(docs.schema.fields)).add("quality_score", DoubleType()).add("quality_predicted", IntegerType())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality")
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(text_col)]).reshape(-1, N_STATISTICS)
             s = model.score(x) if len(x) else np.zeros(0)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from spantable.cluster import ship
-from spantable.llm.text import words
+from spantable.llm.text import forget_with, take_over, words
 from spantable.llm.tokens import _BYTE, REMEMBERED, TOKENIZER, resolve
 
 ROOT, INNER, NONE = 0, 1, -1
@@ -116,6 +116,9 @@ def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(raw, raw)
 
 
+forget_with(piece_counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, vocabulary: str = TOKENIZER, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_words, n_tokens and n_unknown (longs; columns of these names are replaced).
 
@@ -132,6 +135,7 @@ def token_counts(docs: DataFrame, vocabulary: str = TOKENIZER, text_col: str = "
         schema.add(c, LongType())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("pieces")
         counter = piece_counter(vocabulary)
         for b in batches:
             out: list[list[int]] = [[], [], []]
