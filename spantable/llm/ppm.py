@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship, stage
-from spantable.llm.text import words
+from spantable.llm.text import take_over, words
 
 ORDER = 4
 SPACE, END = 0x20, 0x0A
@@ -36,6 +36,8 @@ START = b"\0\0\0 "
 END_GRAM = int.from_bytes(START + bytes((END,)), "big")
 #: Bytes of text in a block, unless one text alone has more.
 BLOCK_BYTES = 16 << 20
+#: Words whose 5-grams are looked at together.
+CHUNK = 1 << 15
 #: Languages with a trie of their own, those of most training documents.
 LANGUAGES = 8
 
@@ -108,21 +110,27 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("ppm")
         block, size = TaskContext.get().partitionId() << 32, 0
         index, ids, outs, of, tokens = _Index(), [], [], [], []
 
         def close() -> pa.RecordBatch:
             ws = list(index)
-            code, owner = _grams(ws)
-            grams, which = np.unique(np.append(code, END_GRAM), return_inverse=True)
-            train, counts, seen = np.zeros(len(ws), np.int64), [], []
+            seen, by_class = [], []
             for k in range(classes):
                 learn = [t for t, h, c in zip(tokens, outs, of) if c == k and not h]
-                n = np.bincount(np.concatenate(learn), minlength=len(ws)) if learn else np.zeros(len(ws), np.int64)
-                counts.append(np.bincount(which, np.append(n[owner], len(learn)), len(grams)).astype(np.int64))
+                by_class.append(np.bincount(np.concatenate(learn), minlength=len(ws)) if learn else np.zeros(len(ws), np.int64))
                 seen.append(len(learn))
-                train += n
-            flat = np.concatenate(tokens).astype("<i4").tobytes() if tokens else b""
+            train = sum(by_class)
+            # a chunk of words at a time: the 5-grams of all words at once would take most of a task's memory
+            grams = np.unique(np.concatenate([np.array([END_GRAM]), *(np.unique(_grams(ws[i : i + CHUNK])[0]) for i in range(0, len(ws), CHUNK))]))
+            counts = [np.where(grams == END_GRAM, n, 0) for n in seen]
+            for i in range(0, len(ws), CHUNK):
+                code, owner = _grams(ws[i : i + CHUNK])
+                which = np.searchsorted(grams, code)
+                for k in range(classes):
+                    counts[k] += np.bincount(which, by_class[k][i : i + CHUNK][owner], len(grams)).astype(np.int64)
+            flat = np.concatenate(tokens).astype("<i4", copy=False).tobytes() if tokens else b""
             row = [block, ids, outs, [len(t) for t in tokens], zlib.compress(flat, 1), ws, train, seen, grams, *counts]
             return pa.RecordBatch.from_arrays([pa.array([x], f[1]) for x, f in zip(row, fields)], schema=schema)
 
@@ -138,7 +146,7 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
                 ids.append(d)
                 outs.append(h)
                 of.append(c)
-                tokens.append(np.fromiter(map(index.__getitem__, w), np.int64, len(w)))
+                tokens.append(np.fromiter(map(index.__getitem__, w), np.int32, len(w)))
                 size += n
         if ids:
             yield close()
@@ -268,11 +276,14 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
             c[words_of["key"].to_numpy()] = words_of["c"].to_numpy()
             gram = grams_of["key"].to_numpy()
             order = np.argsort(gram)
-            gram = gram[order]
-            code, owner = _grams(row["words"])
-            at, end = np.searchsorted(gram, code), np.searchsorted(gram, END_GRAM)
+            gram, end = gram[order], np.searchsorted(gram[order], END_GRAM)
             p = [grams_of[x].to_numpy()[order] for x in ps]
-            by_word = np.stack([np.bincount(owner, x[at], len(c)) if len(c) else c for x in p], 1)
+            by_word = np.zeros((len(c), classes))
+            for i in range(0, len(c), CHUNK):
+                code, owner = _grams(row["words"][i : i + CHUNK])
+                at = np.searchsorted(gram, code)
+                for k in range(classes):
+                    by_word[i : i + CHUNK, k] = np.bincount(owner, p[k][at])
             ends = np.array([x[end] for x in p]) + prior
             unigram = np.log10((c + 1) / base)
             tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4")
