@@ -1,13 +1,14 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors become integers. Within a shard of vectors, a posting segment is a
-(dimension, value) with the rows that hold this value there; its impact for a
-query is query[dimension] * value. Adding the least impact of each dimension
-makes all impacts non-negative, so a row's score so far is a lower bound and
-the sum of what its open dimensions can still add is an upper bound. Segments
-are processed by descending impact, one quantised level at a time. The search
-stops when the bounds prove that only a few rows can be among the best k; those
-are rescored exactly.
+Vectors become integers. Each dimension is two lists of postings, one for
+queries that want it high, with impact value - least value, and one for queries
+that want it low, with impact greatest value - value. A posting segment is the
+rows of a list with the same quantised impact. All segments of one quantised
+impact are processed before those of the next lower one, for a block of queries
+at a time: a row's score so far is a lower bound, and its open lists add at
+most the greatest impact not yet processed times their query weights. A query
+stops when these bounds prove that only a few rows can be among its best k;
+those are rescored exactly.
 """
 
 from __future__ import annotations
@@ -21,64 +22,54 @@ from spantable.cluster import ship
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
-LEVELS = 12
+#: Quantised impacts, and queries whose scores are held at once.
+LEVELS, TOGETHER = 8, 256
 
 
 class ImpactIndex:
-    """The posting segments of one shard: per dimension, row numbers in the order of their value."""
+    """The postings of one shard, rows in the order of their ids."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray) -> None:
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, levels: int = LEVELS) -> None:
         by_id = np.argsort(ids, kind="stable")
         self.rows, self.ids = rows[by_id], ids[by_id]
-        order = np.argsort(self.rows, axis=0, kind="stable")
-        self.postings = [np.ascontiguousarray(order[:, d]) for d in range(rows.shape[1])]
-        self.values = [self.rows[self.postings[d], d] for d in range(rows.shape[1])]
+        impact = np.hstack([self.rows - self.rows.min(0), self.rows.max(0) - self.rows])
+        self.width = max(1.0, np.ceil((impact.max(initial=0) + 1) / levels))
+        self.level = (impact // self.width).astype(np.int16)
+        self.impact = impact
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows without those of id `own`; ties go to smaller ids."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: ids and scores of the k best rows without those of its own id; ties go to smaller ids."""
         n = len(self.ids)
-        live = np.flatnonzero(query)
-        least = {d: min(query[d] * self.values[d][0], query[d] * self.values[d][-1]) for d in live}
-        most = {d: max(query[d] * self.values[d][0], query[d] * self.values[d][-1]) - least[d] for d in live}
-        score, seen = np.zeros(n), np.zeros(n, np.int64)
-        wanted = k + 1  # the query's own row may be among them
-        possible = np.arange(n)
-        if len(live) and n > wanted:
-            # done[d]: how many postings of d are processed, from its end of great impact
-            done = dict.fromkeys(live, 0)
-            top = max(most.values())
-            for level in range(LEVELS - 1, -1, -1):
-                floor = top * level / LEVELS
-                ids, impacts = [], []
-                for d in live:
-                    if most[d] < floor:
-                        continue
-                    q, values, lo = query[d], self.values[d], done[d]
-                    if q > 0:
-                        hi = n - int(np.searchsorted(values, (floor + least[d]) / q, "left")) if level else n
-                        part = slice(n - max(hi, lo), n - lo)
-                    else:
-                        hi = int(np.searchsorted(values, (floor + least[d]) / q, "right")) if level else n
-                        part = slice(lo, max(hi, lo))
-                    if part.stop > part.start:
-                        done[d] = max(hi, lo)
-                        ids.append(self.postings[d][part])
-                        impacts.append(values[part] * q - least[d])
-                if ids:
-                    at = np.concatenate(ids)
-                    score += np.bincount(at, np.concatenate(impacts), n)
-                    seen += np.bincount(at, minlength=n)
-                if level == 0:  # all segments are processed: scores are final
-                    possible = np.flatnonzero(score >= np.partition(score, n - wanted)[n - wanted])
-                    break
-                # an open dimension adds no more than the floor, one that is not begun no more than its most
-                begun = sum(1 for d in live if done[d])
-                rest = sum(most[d] for d in live if not done[d])
-                bar = np.partition(score, n - wanted)[n - wanted]
-                fits = score + (begun - seen) * floor + rest >= bar
-                if np.count_nonzero(fits) <= 8 * wanted:
-                    possible = np.flatnonzero(fits)
+        out: list = [None] * len(queries)
+        wanted = min(n, k + 1)  # the query's own row may be among them
+        weights = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)]).T
+        # single precision holds whole numbers below 2^24 exactly
+        exact = np.float32 if (self.impact.max(initial=0) + self.width) * weights.sum(0).max(initial=0) < 1 << 24 else np.float64
+        weights = weights.astype(exact)
+        for at in range(0, len(queries), TOGETHER):
+            open_ = np.arange(at, min(at + TOGETHER, len(queries)))
+            score = np.zeros((n, len(open_)), exact)
+            left = np.repeat(weights[:, open_].sum(0, keepdims=True), n, 0)
+            for level in range(int(self.level.max(initial=0)), -1, -1):
+                here = self.level == level
+                w = weights[:, open_]
+                score += np.where(here, self.impact, 0).astype(exact) @ w
+                left -= here.astype(exact) @ w
+                most = level * self.width - 1  # what an open list adds at most, times its weight
+                if level and (left.mean(0) * most > 0.25 * score.mean(0)).all():
+                    continue  # far from a proof
+                bar = np.partition(score, n - wanted, axis=0)[n - wanted]
+                possible = score + left * max(most, 0) >= bar
+                proved = np.full(len(open_), True) if level == 0 else np.count_nonzero(possible, axis=0) <= 8 * wanted
+                for j in np.flatnonzero(proved):
+                    q = open_[j]
+                    out[q] = self._best(np.flatnonzero(possible[:, j]), queries[q], own[q], k)
+                open_, score, left = open_[~proved], score[:, ~proved], left[:, ~proved]
+                if not len(open_):
                     break
+        return out
+
+    def _best(self, possible: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         possible = possible[self.ids[possible] != own]
         exact = self.rows[possible] @ query
         if len(possible) > k:
@@ -106,9 +97,9 @@ def _searcher(k: int):
             width = max(q.shape[1], x.shape[1])
             q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
             index = ImpactIndex(x, rows["id"].to_numpy())
-            for i, own in enumerate(queries["id"].to_pylist()):
-                ids, scores = index.search(q[i], own, k)
-                out.append((np.full(len(ids), own), ids, scores.astype(np.int64)))
+            own = queries["id"].to_numpy()
+            for o, (ids, scores) in zip(own, index.search(q, own, k)):
+                out.append((np.full(len(ids), o), ids, scores.astype(np.int64)))
         cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
