@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship, stage
+from spantable.llm.text import take_over
 from spantable.llm.tokens import END, TOKENIZER, word_tokens
 
 MAGIC = b"WMX1"
@@ -86,7 +87,7 @@ class WaveletMatrix:
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
         """How often symbol occurs at positions from lo to hi - 1."""
         a, b = self._range(symbol, lo, self.n if hi is None else hi)
-        return b - a
+        return max(0, b - a)
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
         ends = np.clip(np.array([lo, hi], np.int64), 0, self.n)
@@ -170,11 +171,12 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, sh
     document is never split. An empty table gives no shards.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     names = ["part", "shard", "n_tokens", "n_docs", "file"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("tokens")
         enc = word_tokens(tokenizer, end)
         planes = max(1, int(max(enc.tok.get_vocab_size() - 1, end)).bit_length())
         part, shard, ids, held, total = TaskContext.get().partitionId(), 0, [], [], 0
