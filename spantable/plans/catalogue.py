@@ -90,7 +90,7 @@ def _(spark, d):
 
 @query("intersect", "SELECT b.chrom, b.s, b.e, b.rest FROM reg a JOIN bed b ON a.chrom = b.chrom AND b.e >= a.s AND b.s <= a.e WHERE a.id % 10 = 0")
 def _(spark, d):
-    return joins.intersect(regions(spark, d).filter("id % 10 = 0"), features(spark, d))
+    return joins.intersect(regions(spark, d), features(spark, d))
 
 
 @query("overlap_export_signal", "SELECT a.chrom, greatest(a.s, g.s) AS s, least(a.e, g.e) AS e, g.v FROM reg a JOIN sig g ON a.chrom = g.chrom AND g.e > a.s AND g.s < a.e")
@@ -100,7 +100,7 @@ def _(spark, d):
 
 @query("overlap_export_features", "SELECT a.chrom, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e, b.rest FROM reg a JOIN bed b ON a.chrom = b.chrom AND b.e >= a.s AND b.s <= a.e WHERE a.id % 10 = 0")
 def _(spark, d):
-    return joins.clipped(regions(spark, d).filter("id % 10 = 0"), features(spark, d))
+    return joins.clipped(regions(spark, d), features(spark, d))
 
 
 @query("chrom_semi", "SELECT id, chrom FROM reg WHERE chrom IN (SELECT chrom FROM sig)")
