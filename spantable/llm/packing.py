@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship, stage
@@ -16,10 +15,14 @@ from spantable.llm.text import take_over
 from spantable.llm.tokens import END, TOKENIZER, word_tokens
 
 WINDOW = 4096
-#: An index shard is closed before it exceeds these, unless one document alone does.
+#: What is left is packed in one index when it does not exceed these.
 SHARD_TOKENS, SHARD_DOCS = 1 << 21, 4096
-#: Terms of a seed document that make its query, those of greatest weight.
-QUERY_TERMS = 32
+#: Windows that each chain fills at about.
+CHAIN_WINDOWS = 6
+#: Seeds that are searched for at once, documents scored at once, and terms scored by matrix products, those that most documents hold.
+SEEDS, TOGETHER, DENSE = 12288, 256, 1024
+#: Neighbours that a seed asks for, and at most when many seeds ask for the same.
+NEIGHBOURS, MOST_NEIGHBOURS = 32, 256
 K1, B = 1.2, 0.75
 
 
@@ -43,15 +46,68 @@ class Bm25Shard:
         self.first = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 scores of all documents for a document's heaviest terms."""
-        own = slice(self.begin[doc], self.begin[doc + 1])
-        terms, weights = self.term[own], self.weight[own]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(weights, -QUERY_TERMS)[-QUERY_TERMS:]]
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
+        """BM25 scores of all documents for all terms of a document."""
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self.term[self.begin[doc] : self.begin[doc + 1]]]
+        if not spans:
+            return np.zeros(self.n)
         return np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), self.n)
 
 
+class Seeds:
+    """Whole documents as queries: for each the best of all documents that are shown to it, a block at a time."""
+
+    def __init__(self, names: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, most: int) -> None:
+        self.names, self.idf, self.mean, self.most = names, idf, mean_length, most
+        self.column = np.full(len(idf), -1)
+        self.column[dense] = np.arange(len(dense))
+        owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        term = np.concatenate(terms).astype(np.int64)
+        at = self.column[term]
+        self.wants = np.zeros((len(dense), len(terms)), np.float32)
+        self.wants[at[at >= 0], owner[at >= 0]] = 1
+        rare, owner = term[at < 0], owner[at < 0]
+        by_term = np.argsort(rare, kind="stable")
+        self.rare, self.rare_owner = rare[by_term], owner[by_term]
+        self.bar = np.full(len(terms), -1, np.float32)
+        empty = np.zeros(0, np.int64)
+        self.best = (empty, empty, empty, np.zeros(0, np.float32))  # seed, key, length, score
+        self.salt = (names * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
+
+    def show(self, keys: np.ndarray, docs: list[np.ndarray]) -> None:
+        parts = [np.unique(d, return_counts=True) for d in docs]
+        owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in parts])
+        term, tf = np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([n for _, n in parts])
+        length = np.array([len(d) for d in docs], np.int64)
+        weight = (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / max(self.mean, 1.0)))).astype(np.float32)
+        at = self.column[term]
+        x = np.zeros((len(docs), len(self.wants)), np.float32)
+        x[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
+        score = x @ self.wants
+        term, owner, weight = term[at < 0], owner[at < 0], weight[at < 0]
+        by_term = np.argsort(term, kind="stable")
+        term, owner, weight = term[by_term], owner[by_term], weight[by_term]
+        for t in np.intersect1d(term, self.rare):
+            mine, theirs = slice(*np.searchsorted(term, [t, t + 1])), slice(*np.searchsorted(self.rare, [t, t + 1]))
+            score[np.ix_(owner[mine], self.rare_owner[theirs])] += weight[mine, None]
+        # scores that are equal in single precision come in an order of each seed's own, so that seeds do not all ask for the same copies
+        spread = (keys * 0x85EBCA77 & 0xFFFFFFFF).astype(np.uint32)[:, None] * self.salt[None]
+        spread ^= spread >> np.uint32(15)
+        score *= 1 + (spread >> np.uint32(24)) * np.float32(4e-9)
+        if not len(self.best[0]) and len(docs) > self.most:
+            self.bar = np.nextafter(np.partition(score, len(docs) - self.most, axis=0)[len(docs) - self.most], np.float32(-1))
+        doc, seed = np.nonzero(score > self.bar)
+        new = (seed, keys[doc], length[doc], score[doc, seed])
+        seed, key, n, s = (np.concatenate(x) for x in zip(self.best, new))
+        order = np.lexsort((key, -s, seed))
+        seed, key, n, s = seed[order], key[order], n[order], s[order]
+        first = np.searchsorted(seed, np.arange(len(self.names)))
+        keep = np.arange(len(seed)) - first[seed] < self.most
+        self.best = seed[keep], key[keep], n[keep], s[keep]
+        count = np.bincount(self.best[0], minlength=len(self.names))
+        full = np.flatnonzero(count == self.most)
+        self.bar[full] = self.best[3][np.cumsum(count)[full] - 1]
+
+
 def _best_first(score: np.ndarray, n: int, first: int = 64) -> Iterator[int]:
     """The n places of greatest score, best first, equal ones by place; the rest is only ordered when it is asked for."""
     if n > first:
@@ -106,32 +162,50 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
         if not room:
             yield now
             now, room = [], window
+    yield from _powers(now)
+
+
+def _powers(now: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Pieces cut into sequences whose lengths are powers of two."""
     while now:
-        size = 1 << (sum(n for *_, n in now).bit_length() - 1)
-        out, left = [], size
-        while left:
-            doc, start, n = now[0]
-            take = min(left, n)
-            out.append((doc, start, take))
-            left -= take
-            now[0] = (doc, start + take, n - take)
-            if take == n:
-                now.pop(0)
+        out, now = _cut(now, 1 << (sum(n for *_, n in now).bit_length() - 1))
         yield out
 
 
+def _cut(now: list[tuple[int, int, int]], size: int) -> tuple[list, list]:
+    out, left, now = [], size, list(reversed(now))
+    while left:
+        doc, start, n = now.pop()
+        take = min(left, n)
+        out.append((doc, start, take))
+        left -= take
+        if take < n:
+            now.append((doc, start + take, n - take))
+    return out, now[::-1]
+
+
+def _windows(now: list[tuple[int, int, int]], window: int) -> tuple[list, list]:
+    """Full windows of these pieces, and the pieces that remain."""
+    full = []
+    for _ in range(sum(n for *_, n in now) // window):
+        out, now = _cut(now, window)
+        full.append(out)
+    return full, now
+
+
 def _encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("tokens")
-        enc = word_tokens(tokenizer, end)
+        enc, key = word_tokens(tokenizer, end), TaskContext.get().partitionId() << 32
         for b in batches:
             texts = b.column("text")
             for at in range(0, b.num_rows, 1024):
                 part = [enc.encode(x) for x in texts.slice(at, 1024).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 1024), pa.array([x.tobytes() for x in part], pa.binary()), pa.array([len(x) for x in part], pa.int64())], names=["doc_id", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(part))), b.column("doc_id").slice(at, 1024), pa.array([x.tobytes() for x in part], pa.binary()), pa.array([len(x) for x in part], pa.int64())], names=["key", "doc_id", "ids", "n"])
+                key += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(encode, "doc_id long, ids binary, n long"), "packing-ids")
+    return stage(rows.mapInArrow(encode, "key long, doc_id long, ids binary, n long"), "packing-ids")
 
 
 def document_frequencies(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
@@ -151,98 +225,225 @@ def document_frequencies(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
     return out
 
 
+class _Used:
+    """A bit for each key, by the partition that made it."""
+
+    def __init__(self) -> None:
+        self.bits: dict[int, bytearray] = {}
+
+    def add(self, keys: np.ndarray) -> None:
+        for k in keys.tolist():
+            bits, at = self.bits.setdefault(k >> 32, bytearray()), k & 0xFFFFFFFF
+            if at >> 3 >= len(bits):
+                bits.extend(bytes((at >> 3) + 1 - len(bits)))
+            bits[at >> 3] |= 1 << (at & 7)
+
+    def has(self, key: int) -> bool:
+        bits, at = self.bits.get(key >> 32, b""), key & 0xFFFFFFFF
+        return at >> 3 < len(bits) and bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, dtype: str, window: int, shard_tokens: int, shard_docs: int) -> DataFrame | None:
+    """key, chain and at (order within the chain) of the documents that chains take, which are marked as used; None: no chains needed."""
+    n, tokens = all_
+    if n <= shard_docs and tokens <= shard_tokens:
+        return None
+    spark = rows.sparkSession
+    share = min(1.0, max(1, tokens // (window * CHAIN_WINDOWS)) / n)
+    first = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key", "n").toArrow()
+    if not first.num_rows:
+        first = rows.orderBy("key").limit(1).select("key", "n").toArrow()
+    chain, length = first["key"].to_numpy(), first["n"].to_numpy().copy()
+    order = np.argsort(chain)
+    chain, length = chain[order], length[order]
+    seed, most, at = chain.copy(), NEIGHBOURS, 0
+    placed = [stage(spark.createDataFrame(pa.table({"key": chain, "chain": chain, "at": np.zeros(len(chain), np.int64)})), "packing-seeds")]
+    used.add(chain)
+    n, tokens = n - len(chain), tokens - int(length.sum())
+    while n > shard_docs or tokens > shard_tokens:
+        filled = 0
+        for i in range(0, len(chain), SEEDS):
+            some = slice(i, i + SEEDS)
+            of, key, size, where = _draft(_neighbours(rows, used, chain[some], seed[some], model, dtype, most), chain[some], window - length[some] % window)
+            if not len(key):
+                continue
+            at += 1
+            placed.append(stage(spark.createDataFrame(pa.table({"key": key, "chain": of, "at": (at << 20) + np.arange(len(key))})), "packing-placed"))
+            used.add(key)
+            n, tokens = n - len(key), tokens - int(size.sum())
+            longer = length[some] + np.bincount(where, size, len(chain[some])).astype(np.int64)
+            last = np.flatnonzero(np.diff(where, append=-1))
+            ended = last[(longer // window > length[some] // window)[where[last]]]
+            seed[i + where[ended]] = key[ended]
+            length[some] = longer
+            filled += len(ended)
+            if n <= shard_docs and tokens <= shard_tokens:
+                break
+        if filled < len(chain) // 2:  # many ask for the same
+            most = min(MOST_NEIGHBOURS, 2 * most)
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.union(p)
+    return out
+
+
+def _draft(claims: pa.Table, chain: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds take turns, each the best document on its list that none has taken, until their rooms are full: chain, key, length and place of the chain, by chain and in the order taken."""
+    claims = claims.sort_by([("chain", "ascending"), ("score", "descending"), ("key", "ascending")])
+    of, keys, sizes = claims["chain"].to_numpy(), claims["key"].to_numpy().tolist(), claims["n"].to_numpy().tolist()
+    next_, ends = np.searchsorted(of, chain).tolist(), np.searchsorted(of, chain, side="right").tolist()
+    room, taken, mine = room.tolist(), set(), [[] for _ in chain]
+    turn = list(range(len(chain)))
+    while turn:
+        again = []
+        for c in turn:
+            at = next_[c]
+            while at < ends[c] and keys[at] in taken:
+                at += 1
+            next_[c] = at + 1
+            if at < ends[c]:
+                taken.add(keys[at])
+                mine[c].append(at)
+                room[c] -= sizes[at]
+                if room[c] > 0:
+                    again.append(c)
+        turn = again
+    at = np.array([x for m in mine for x in m], np.int64)
+    where = np.repeat(np.arange(len(chain)), [len(m) for m in mine])
+    return chain[where], claims["key"].to_numpy()[at], claims["n"].to_numpy()[at], where
+
+
+def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarray, model: tuple, dtype: str, most: int) -> pa.Table:
+    """chain, key, n and score: for each seed its best neighbours among the unused documents of each partition, which hold those of the corpus."""
+    spark = rows.sparkSession
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("chain"), pa.array([np.unique(np.frombuffer(x.as_py(), dtype)).tobytes() for x in b.column("ids")], pa.binary())], names=["chain", "terms"])
+
+    asked = F.broadcast(spark.createDataFrame(pa.table({"chain": chain, "key": seed})))
+    t = rows.select("key", "ids").join(asked, "key").select("chain", "ids").mapInArrow(terms, "chain long, terms binary").toArrow()
+    sent = spark.sparkContext.broadcast((t["chain"].to_numpy(), t["terms"].to_pylist(), used, model))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("packing")  # what encoding remembered would be held beside the seeds' lists
+        names, queries, used, (idf, mean, common) = sent.value
+        seeds = Seeds(names, [np.frombuffer(x, dtype) for x in queries], idf, mean, common, most)
+        keys, docs = [], []
+        for b in batches:
+            for k, x in zip(b.column("key").to_pylist(), b.column("ids")):
+                if not used.has(k):
+                    keys.append(k)
+                    docs.append(np.frombuffer(x.as_py(), dtype))
+                    if len(docs) == TOGETHER:
+                        seeds.show(np.array(keys), docs)
+                        keys, docs = [], []
+        if docs:
+            seeds.show(np.array(keys), docs)
+        seed, key, n, score = seeds.best
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[seed], key, n, score)], names=["chain", "key", "n", "score"])
+
+    found = rows.select("key", "ids").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(search, "chain long, key long, n long, score float")
+    top = Window.partitionBy("chain").orderBy(F.desc("score"), "key")
+    out = found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).drop("r").toArrow()
+    sent.destroy()
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit integers).
 
-    Every document, null text as empty, is its ids and the end id. Documents
-    are dealt by range of their two heaviest terms and doc_id, so those about
-    the same things meet, and a hot term is split by doc_id; the ranges come
-    from a sample that is bounded by their number. A task reads its
-    range in shards, builds a BM25 index over each, with document frequencies
-    and mean length of the whole corpus, and packs it (see pack_shard). Nothing
-    is padded. Rows that repeat a doc_id, or lack it, are documents of their
-    own. Empty table: no rows. Extra columns are ignored.
+    Every document, null text as empty, is its ids and the end id. Chains of
+    documents grow side by side: the document that the last window of a chain
+    cut is the seed of its next window, and asks with all its terms for the
+    best BM25 neighbours among all unused documents of the corpus. Seeds take
+    turns, each the best of its list that is left; one whose window is not full
+    asks again in the next round. What is left at last, no
+    more than shard_docs documents and shard_tokens tokens, is packed in one
+    index (see pack_shard). Chains are cut into full windows; what remains of
+    them is joined and cut the same way, the end of a task into sequences whose
+    lengths are powers of two. Nothing is padded. Rows that repeat a doc_id, or
+    lack it, are documents of their own. Empty table: no rows. Extra columns
+    are ignored.
+
+    The work grows with windows times documents. The driver holds a bit for
+    each document, the chains, and the lists of a block of seeds.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     enc = word_tokens(tokenizer, end)
     size, dtype = max(enc.tok.get_vocab_size(), end + 1), enc.dtype.str
     rows = _encoded(docs, tokenizer, end)
-    n, mean = rows.agg(F.count(F.lit(1)), F.avg("n")).first()
+    n, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(rows, size, dtype)
-    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), float(mean or 1)
-
-    def heaviest(x: pa.Scalar) -> tuple[int, int]:
-        t, tf = np.unique(np.frombuffer(x.as_buffer(), dtype), return_counts=True)
-        length = int(tf.sum())
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        i = int(w.argmax())
-        w[i] = -1
-        return int(t[i]), int(t[w.argmax()])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their two heaviest terms and the range that they lie in."""
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), float(tokens / n if n else 1)
+    common = np.argsort(-df, kind="stable")[:DENSE]
+    used = _Used()
+    placed = _chains(rows, used, (n, tokens), (idf, mean, common), dtype, window, shard_tokens, shard_docs)
+
+    def batch(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+    def lay(sequences: Iterator[list[tuple[int, int, int]]], ids: list, held: list, sequence: int) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in range(7)]
+        for pieces in sequences:
+            offset = 0
+            for doc, start, length in pieces:
+                row = (ids[doc], start, length, len(held[doc]), sequence, offset, held[doc][start : start + length].astype("<u4").tobytes())
+                for c, x in zip(cols, row):
+                    c.append(x)
+                offset += length
+            sequence += 1
+        if cols[0]:
+            yield batch(cols)
+
+    def unused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            top = [heaviest(x) for x in b.column("ids")]
-            part = [bisect.bisect_right(bounds, (*k, _low(d))) for k, d in zip(top, b.column("doc_id").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in top], pa.int64()) for i in (0, 1)), pa.array(part, pa.int32())], names=["doc_id", "ids", "t1", "t2", "part"])
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            top = [heaviest(x) for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), *(pa.array([k[i] for k in top], pa.int64()) for i in (0, 1))], names=["doc_id", "n", "t1", "t2"])
+            keep = pa.array([not used.has(k) for k in b.column("key").to_pylist()], pa.bool_())
+            yield b.filter(keep)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence, ids, held, total = TaskContext.get().partitionId() << 40, [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            cols: list[list] = [[] for _ in range(7)]
-            for pieces in pack_shard(held, idf, mean, window):
-                offset = 0
-                for doc, start, length in pieces:
-                    row = (ids[doc], start, length, len(held[doc]), sequence, offset, held[doc][start : start + length].astype("<u4").tobytes())
-                    for c, x in zip(cols, row):
-                        c.append(x)
-                    offset += length
-                sequence += 1
-                if len(cols[0]) >= 512:
-                    yield batch(cols)
-                    cols = [[] for _ in range(7)]
-            if cols[0]:
-                yield batch(cols)
-
-        def batch(cols: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-
+        ids, held = [], []
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
-                t = np.frombuffer(x.as_py(), dtype)
-                if held and (total + len(t) > shard_tokens or len(held) >= shard_docs):
-                    yield from flush()
-                    ids, held, total = [], [], 0
                 ids.append(d)
-                held.append(t)
-                total += len(t)
+                held.append(np.frombuffer(x.as_py(), dtype))
         if held:
-            yield from flush()
-
-    # ranges of about equal numbers of tokens, from a sample of 64 documents a range
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = rows.sample(min(1.0, 64.0 * parts / max(n, 1)), seed=1).mapInArrow(sampled, "doc_id long, n long, t1 long, t2 long").collect()
-    bounds: list[tuple[int, int, int]] = []
-    some.sort(key=lambda r: (r["t1"], r["t2"], _low(r["doc_id"])))
-    total, so_far = sum(r["n"] for r in some), 0
-    for r in some:
-        so_far += r["n"]
-        if len(bounds) + 1 < parts and so_far * parts >= total * (len(bounds) + 1):
-            bounds.append((r["t1"], r["t2"], _low(r["doc_id"])))
-    dealt = rows.select("doc_id", "ids").mapInArrow(place, "doc_id long, ids binary, t1 long, t2 long, part int")
-    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("t1", "t2", F.col("doc_id").asc_nulls_first())
-    return dealt.select("doc_id", "ids").mapInArrow(fill, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
-
-
-def _low(doc_id: int | None) -> int:
-    return -(1 << 63) if doc_id is None else doc_id
+            yield from lay(pack_shard(held, idf, mean, window), ids, held, 1 << 62)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = TaskContext.get().partitionId() << 40
+        ends: list[tuple[int | None, int, np.ndarray]] = []  # what remains of chains: doc_id, start, ids of the document
+        ids, held, chain = [], [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal sequence, ends
+            full, left = _windows([(i, 0, len(x)) for i, x in enumerate(held)], window)
+            yield from lay(full, ids, held, sequence)
+            sequence += len(full)
+            ends += [(ids[i], start, length, held[i]) for i, start, length in left]
+            if sum(x[2] for x in ends) >= window:
+                full, left = _windows([(i, x[1], x[2]) for i, x in enumerate(ends)], window)
+                yield from lay(full, [x[0] for x in ends], [x[3] for x in ends], sequence)
+                sequence += len(full)
+                ends = [(ends[i][0], start, length, ends[i][3]) for i, start, length in left]
+
+        for b in batches:
+            for c, d, x in zip(b.column("chain").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
+                if c != chain:
+                    yield from close()
+                    ids, held, chain = [], [], c
+                ids.append(d)
+                held.append(np.frombuffer(x.as_py(), dtype))
+        yield from close()
+        yield from lay(_powers([(i, x[1], x[2]) for i, x in enumerate(ends)]), [x[0] for x in ends], [x[3] for x in ends], sequence)
+
+    fields = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    rest = rows.select("key", "doc_id", "ids").mapInArrow(unused, "key long, doc_id long, ids binary").repartition(1).sortWithinPartitions("key").mapInArrow(fill, fields)
+    if placed is None:
+        return rest
+    chains = rows.select("key", "doc_id", "ids").join(placed, "key").repartition("chain").sortWithinPartitions("chain", "at")
+    return chains.select("chain", "doc_id", "ids").mapInArrow(join, fields).union(rest)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
