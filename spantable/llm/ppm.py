@@ -1,8 +1,10 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 The model sees a text as its words, A-Z lower-cased, each closed by a space,
-and an end symbol. A byte's context is the up to four bytes before it, the
-space before the word included and nothing beyond it. PPM takes the longest
+and an end symbol. A byte's context is the up to four bytes before it. With
+running contexts, which the query has, these run over the space into the words
+before; else the space before the word is included and nothing beyond it. PPM
+takes the longest
 context that training has seen, gives its symbols count / (total + distinct)
 and the escape distinct / (total + distinct) (method C), and goes on with the
 next shorter context without the symbols that the longer one has ruled out;
@@ -36,8 +38,8 @@ START = b"\0\0\0 "
 END_GRAM = int.from_bytes(START + bytes((END,)), "big")
 #: Bytes of text in a block, unless one text alone has more.
 BLOCK_BYTES = 16 << 20
-#: Words whose 5-grams are looked at together.
-CHUNK = 1 << 15
+#: Words whose 5-grams are looked at together, and bytes of documents with running contexts.
+CHUNK, CHUNK_BYTES = 1 << 15, 1 << 20
 #: Languages with a trie of their own, those of most training documents.
 LANGUAGES = 8
 
@@ -67,11 +69,11 @@ class AdaptivePpm:
             c = self.counts[context[len(context) - k :]]
             c[symbol] = c.get(symbol, 0) + n
 
-    def code_length(self, text: str | None, learn: bool = True) -> float:
+    def code_length(self, text: str | None, learn: bool = True, running: bool = False) -> float:
         """log10 probability of a text, learning it byte by byte."""
-        total = 0.0
+        total, seen = 0.0, START
         for symbols in [*(w + b" " for w in words(text)), bytes((END,))]:
-            seen = START
+            seen = seen[-4:] if running else START
             for s in symbols:
                 total += float(np.log10(self.probability(seen[-4:], s)))
                 if learn:
@@ -94,13 +96,33 @@ def _grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code, owner
 
 
+def _running_grams(tokens: list[np.ndarray], spaced: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Some documents at a time, first and end: the 5-grams of their running text and its end, and which of these documents each is of.
+
+    spaced: the words and their spaces, by number.
+    """
+    first, size, texts = 0, 0, []
+    for i, t in enumerate(tokens):
+        texts.append(b"".join((START, *map(spaced.__getitem__, t.tolist()), bytes((END,)))))
+        size += len(texts[-1])
+        if size >= CHUNK_BYTES or i + 1 == len(tokens):
+            owner = np.repeat(np.arange(len(texts)), [len(x) - 4 for x in texts])
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            at = np.arange(len(owner)) + 4 * (owner + 1)
+            code = np.zeros(len(at), np.int64)
+            for k in range(4, -1, -1):
+                code = code << 8 | data[at - k]
+            yield first, i + 1, code, owner
+            first, size, texts = i + 1, 0, []
+
+
 class _Index(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, classes: int, block_bytes: int, running: bool) -> DataFrame:
     """One row a block: its documents as numbers of its words, its words and, by class, its 5-grams with their training counts.
 
     docs: doc_id, text, held, class (a number below classes).
@@ -114,14 +136,7 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
         block, size = TaskContext.get().partitionId() << 32, 0
         index, ids, outs, of, tokens = _Index(), [], [], [], []
 
-        def close() -> pa.RecordBatch:
-            ws = list(index)
-            seen, by_class = [], []
-            for k in range(classes):
-                learn = [t for t, h, c in zip(tokens, outs, of) if c == k and not h]
-                by_class.append(np.bincount(np.concatenate(learn), minlength=len(ws)) if learn else np.zeros(len(ws), np.int64))
-                seen.append(len(learn))
-            train = sum(by_class)
+        def word_counts(ws: list[bytes], by_class: list[np.ndarray], seen: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
             # a chunk of words at a time: the 5-grams of all words at once would take most of a task's memory
             grams = np.unique(np.concatenate([np.array([END_GRAM]), *(np.unique(_grams(ws[i : i + CHUNK])[0]) for i in range(0, len(ws), CHUNK))]))
             counts = [np.where(grams == END_GRAM, n, 0) for n in seen]
@@ -130,6 +145,32 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int) -> DataFrame:
                 which = np.searchsorted(grams, code)
                 for k in range(classes):
                     counts[k] += np.bincount(which, by_class[k][i : i + CHUNK][owner], len(grams)).astype(np.int64)
+            return grams, counts
+
+        def running_counts(ws: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+            spaced, found = [w + b" " for w in ws], []
+            for k in range(-1, classes):  # -1: held out, without counts
+                for _, _, code, _ in _running_grams([t for t, h, c in zip(tokens, outs, of) if (-1 if h else c) == k], spaced):
+                    found.append((k, *np.unique(code, return_counts=True)))
+            grams = np.unique(np.concatenate([u for _, u, _ in found]))
+            counts = [np.zeros(len(grams), np.int64) for _ in range(classes)]
+            for k, u, n in found:
+                if k >= 0:
+                    counts[k][np.searchsorted(grams, u)] += n
+            return grams, counts
+
+        def close() -> pa.RecordBatch:
+            ws = list(index)
+            seen, by_class = [], []
+            for k in range(classes):
+                learn = [t for t, h, c in zip(tokens, outs, of) if c == k and not h]
+                by_class.append(np.bincount(np.concatenate(learn), minlength=len(ws)) if learn else np.zeros(len(ws), np.int64))
+                seen.append(len(learn))
+            train = sum(by_class)
+            if running:
+                grams, counts = running_counts(ws)
+            else:
+                grams, counts = word_counts(ws, by_class, seen)
             flat = np.concatenate(tokens).astype("<i4", copy=False).tobytes() if tokens else b""
             row = [block, ids, outs, [len(t) for t in tokens], zlib.compress(flat, 1), ws, train, seen, grams, *counts]
             return pa.RecordBatch.from_arrays([pa.array([x], f[1]) for x, f in zip(row, fields)], schema=schema)
@@ -207,7 +248,7 @@ def gram_probabilities(gram: np.ndarray, n: np.ndarray, order1: np.ndarray) -> n
     return p
 
 
-def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_BYTES, languages: int = LANGUAGES) -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_BYTES, languages: int = LANGUAGES, running: bool = False) -> DataFrame:
     """docs(doc_id, text, lang) scored by a PPM model and by add-one unigrams, both trained on rows where held is not true.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens (longs),
@@ -217,7 +258,8 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
     comes once from each block. A task holds one block with its words and
     5-grams, or the 5-grams of one two-byte context, of which there can be
     2^24 at most. The only tables that go to the driver have 65,536 counts for
-    each class. lang is read of training documents only.
+    each class. lang is read of training documents only. running: contexts run
+    over spaces into the words before, and 5-grams are those of the whole text.
 
     Null text: empty, one token. Null doc_id: kept. Null lang, or no such
     column: the class of the rest. Rows that repeat an id are documents of
@@ -233,7 +275,7 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
     number = F.lit(classes - 1)
     for k, r in enumerate(top):
         number = F.when(F.col("lang") == r["lang"], k).otherwise(number)
-    blocks = _blocks(rows.select("doc_id", "text", "held", F.coalesce(number, F.lit(classes - 1)).alias("class")), classes, block_bytes)
+    blocks = _blocks(rows.select("doc_id", "text", "held", F.coalesce(number, F.lit(classes - 1)).alias("class")), classes, block_bytes, running)
     # words: one window over the counts that blocks hold
     per = blocks.select("block", F.posexplode(F.arrays_zip("words", "word_train")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.word_train").alias("n"))
     same = Window.partitionBy("word")
@@ -276,22 +318,29 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
             c[words_of["key"].to_numpy()] = words_of["c"].to_numpy()
             gram = grams_of["key"].to_numpy()
             order = np.argsort(gram)
-            gram, end = gram[order], np.searchsorted(gram[order], END_GRAM)
+            gram = gram[order]
             p = [grams_of[x].to_numpy()[order] for x in ps]
-            by_word = np.zeros((len(c), classes))
-            for i in range(0, len(c), CHUNK):
-                code, owner = _grams(row["words"][i : i + CHUNK])
-                at = np.searchsorted(gram, code)
-                for k in range(classes):
-                    by_word[i : i + CHUNK, k] = np.bincount(owner, p[k][at])
-            ends = np.array([x[end] for x in p]) + prior
-            unigram = np.log10((c + 1) / base)
             tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4")
-            at = 0
-            for d, h, m in zip(row["docs"], row["held"], row["lengths"]):
-                t = tokens[at : at + m]
-                at += m
-                x = by_word[t].sum(0) + ends
+            each = np.split(tokens, np.cumsum(row["lengths"])[:-1])
+            by_doc = np.zeros((len(each), classes))
+            if running:
+                for i, j, code, owner in _running_grams(each, [w + b" " for w in row["words"]]):
+                    at = np.searchsorted(gram, code)
+                    for k in range(classes):
+                        by_doc[i:j, k] = np.bincount(owner, p[k][at], j - i)
+            else:
+                by_word = np.zeros((len(c), classes))
+                for i in range(0, len(c), CHUNK):
+                    code, owner = _grams(row["words"][i : i + CHUNK])
+                    at = np.searchsorted(gram, code)
+                    for k in range(classes):
+                        by_word[i : i + CHUNK, k] = np.bincount(owner, p[k][at])
+                end = np.searchsorted(gram, END_GRAM)
+                for i, t in enumerate(each):
+                    by_doc[i] = by_word[t].sum(0) + np.array([x[end] for x in p])
+            unigram = np.log10((c + 1) / base)
+            for d, h, m, t, y in zip(row["docs"], row["held"], row["lengths"], each, by_doc):
+                x = y + prior
                 mixed = x.max() + np.log10((10 ** (x - x.max())).sum())
                 out.append((d, h, m + 1, int(np.count_nonzero(c[t])) + (train_docs > 0), n, float(unigram[t].sum() + np.log10((train_docs + 1) / base)), float(mixed)))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(len(names))], schema=schema)
@@ -302,4 +351,4 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
 
 def query(spark, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), held)
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), held, running=True)
