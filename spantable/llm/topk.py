@@ -1,143 +1,174 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors become integers. Each dimension is two lists of postings, one for
+Vectors become integers. Each dimension has two lists of postings, one for
 queries that want it high, with impact value - least value, and one for queries
-that want it low, with impact greatest value - value. A posting segment is the
-rows of a list with the same quantised impact. All segments of one quantised
-impact are processed before those of the next lower one, for a block of queries
-at a time: a row's score so far is a lower bound, and its open lists add at
-most the greatest impact not yet processed times their query weights. A query
-stops when these bounds prove that only a few rows can be among its best k;
-those are rescored exactly.
+that want it low, with impact greatest value - value. A list is kept in
+segments, the rows of equal quantised impact, greatest first. A query opens one
+list for each of its dimensions and processes the segments of all of them level
+by level: a row's score so far is a lower bound, and each of its lists not yet
+reached adds at most the greatest impact of the next level times the query's
+weight. A query stops when these bounds prove that only a few rows can be among
+its best k; later segments are never touched. Those rows are rescored exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spantable.cluster import ship
+from spantable.cluster import scratch, ship, stage
 
-SHARD_ROWS = 8192
-BLOCK_QUERIES = 1024
-#: Quantised impacts, and queries whose scores are held at once.
-LEVELS, TOGETHER = 8, 256
+#: Vectors in an index; queries, and components of queries, that are sent to the indexes at once.
+SHARD_ROWS, BLOCK_QUERIES, BLOCK_VALUES = 8192, 4096, 1 << 22
+#: Quantised impacts.
+LEVELS = 8
 
 
 class ImpactIndex:
-    """The postings of one shard, rows in the order of their ids."""
+    """The postings of some vectors, rows of integers; ids break ties, keys tell rows apart."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, levels: int = LEVELS) -> None:
-        by_id = np.argsort(ids, kind="stable")
-        self.rows, self.ids = rows[by_id], ids[by_id]
-        impact = np.hstack([self.rows - self.rows.min(0), self.rows.max(0) - self.rows])
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, levels: int = LEVELS) -> None:
+        self.rows, self.ids, self.keys = rows, ids, keys
+        self.low, self.high = rows.min(0), rows.max(0)
+        impact = np.concatenate(((rows - self.low).T, (self.high - rows).T))  # lists x rows
         self.width = max(1.0, np.ceil((impact.max(initial=0) + 1) / levels))
-        self.level = (impact // self.width).astype(np.int16)
-        self.impact = impact
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query: ids and scores of the k best rows without those of its own id; ties go to smaller ids."""
-        n = len(self.ids)
-        out: list = [None] * len(queries)
+        level = (impact // self.width).astype(np.int16)
+        self.levels = int(level.max(initial=0)) + 1
+        self.owner = np.argsort(-level, axis=1, kind="stable")
+        self.impact = np.take_along_axis(impact, self.owner, 1)
+        # first[list, i]: where the segment of the i-th greatest level begins
+        counts = np.stack([np.count_nonzero(level == i, axis=1) for i in range(self.levels - 1, -1, -1)], 1)
+        self.first = np.concatenate((np.zeros((len(impact), 1), np.int64), np.cumsum(counts, 1)), 1)
+
+    def search(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best rows, without that of key `own`; ties go to smaller ids.
+
+        bar: a score that k rows elsewhere reach; rows below it are left out.
+        """
+        n, dims = self.rows.shape
         wanted = min(n, k + 1)  # the query's own row may be among them
-        weights = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)]).T
-        # single precision holds whole numbers below 2^24 exactly
-        exact = np.float32 if (self.impact.max(initial=0) + self.width) * weights.sum(0).max(initial=0) < 1 << 24 else np.float64
-        weights = weights.astype(exact)
-        for at in range(0, len(queries), TOGETHER):
-            open_ = np.arange(at, min(at + TOGETHER, len(queries)))
-            score = np.zeros((n, len(open_)), exact)
-            left = np.repeat(weights[:, open_].sum(0, keepdims=True), n, 0)
-            for level in range(int(self.level.max(initial=0)), -1, -1):
-                here = self.level == level
-                w = weights[:, open_]
-                score += np.where(here, self.impact, 0).astype(exact) @ w
-                left -= here.astype(exact) @ w
-                most = level * self.width - 1  # what an open list adds at most, times its weight
-                if level and (left.mean(0) * most > 0.25 * score.mean(0)).all():
-                    continue  # far from a proof
-                bar = np.partition(score, n - wanted, axis=0)[n - wanted]
-                possible = score + left * max(most, 0) >= bar
-                proved = np.full(len(open_), True) if level == 0 else np.count_nonzero(possible, axis=0) <= 8 * wanted
-                for j in np.flatnonzero(proved):
-                    q = open_[j]
-                    out[q] = self._best(np.flatnonzero(possible[:, j]), queries[q], own[q], k)
-                open_, score, left = open_[~proved], score[:, ~proved], left[:, ~proved]
-                if not len(open_):
+        lists = np.flatnonzero(query)
+        weights = np.abs(query[lists])
+        base = float(np.where(query > 0, query * self.low, query * self.high).sum())
+        lists = np.where(query[lists] > 0, lists, lists + dims)
+        score, left = np.full(n, base), np.full(n, weights.sum())
+        for i in range(self.levels):
+            spans = list(zip(lists.tolist(), self.first[lists, i].tolist(), self.first[lists, i + 1].tolist()))
+            sizes = self.first[lists, i + 1] - self.first[lists, i]
+            if sizes.any():
+                rows = np.concatenate([self.owner[j, a:b] for j, a, b in spans])
+                w = np.repeat(weights, sizes)
+                left -= np.bincount(rows, w, n)
+                w *= np.concatenate([self.impact[j, a:b] for j, a, b in spans])
+                score += np.bincount(rows, w, n)
+            most = (self.levels - 1 - i) * self.width - 1  # what a list not yet reached adds at most, times its weight
+            if i + 1 == self.levels or most * left.mean() < 2 * (score.mean() - base) + 1:
+                least = max(bar, np.partition(score, n - wanted)[n - wanted])
+                possible = np.flatnonzero(score + left * max(most, 0.0) >= least)
+                if len(possible) <= 8 * wanted:
                     break
-        return out
+        return self._best(possible, query, own, k)
 
     def _best(self, possible: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        possible = possible[self.ids[possible] != own]
+        possible = possible[self.keys[possible] != own]
         exact = self.rows[possible] @ query
         if len(possible) > k:
             keep = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
             possible, exact = possible[keep], exact[keep]
         best = np.lexsort((self.ids[possible], -exact))[:k]
-        return self.ids[possible[best]], exact[best]
+        return possible[best], exact[best]
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
+    """Vectors as rows, shorter ones filled with zeros."""
     flat = vectors.to_pylist()
-    out = np.zeros((len(flat), max(map(len, flat), default=0)))
+    out = np.zeros((len(flat), max(width, max(map(len, flat), default=0))))
     for i, v in enumerate(flat):
         out[i, : len(v)] = v
     return out
 
 
-def _searcher(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if queries.num_rows and rows.num_rows:
-            q, x = _matrix(queries["v"]), _matrix(rows["v"])
-            width = max(q.shape[1], x.shape[1])
-            q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-            index = ImpactIndex(x, rows["id"].to_numpy())
-            own = queries["id"].to_numpy()
-            for o, (ids, scores) in zip(own, index.search(q, own, k)):
-                out.append((np.full(len(ids), o), ids, scores.astype(np.int64)))
-        cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
-
-    return search
+def _search(queries: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordBatch], k: int, shard_rows: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a task for each query: query (its key), id, score."""
+    own, q = queries
+    if not len(own):
+        return
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+
+    def show(shard: list[pa.RecordBatch]) -> None:
+        t = pa.Table.from_batches(shard)
+        x = _matrix(t["v"], q.shape[1])
+        index = ImpactIndex(x, t["id"].to_numpy(), t["key"].to_numpy())
+        wide = np.pad(q, ((0, 0), (0, x.shape[1] - q.shape[1])))
+        for i, o in enumerate(own.tolist()):
+            ids, scores = best[i]
+            at, new = index.search(wide[i], o, k, scores[-1] if len(scores) == k else -np.inf)
+            if len(at):
+                ids, scores = np.concatenate((ids, index.ids[at])), np.concatenate((scores, new))
+                order = np.lexsort((ids, -scores))[:k]
+                best[i] = ids[order], scores[order]
+
+    shard, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, shard_rows):
+            part = b.slice(at, shard_rows)
+            if n + part.num_rows > shard_rows and shard:
+                show(shard)
+                shard, n = [], 0
+            shard.append(part)
+            n += part.num_rows
+    if shard:
+        show(shard)
+    cols = np.repeat(own, [len(x) for x, _ in best]), *(np.concatenate([b[i] for b in best]) for i in range(2))
+    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query", "id", "score"])
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, scale: int = 64, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """For each row whose id is divisible by `every`: its k greatest integer inner products.
+    """For each row whose id is divisible by `every`: its k greatest integer inner products with other rows.
 
     Components x become floor(scale * x). Returns query_id, rank, vec_id, score;
-    ties go to the smaller id. Every block of queries meets every shard of
-    vectors once; a task holds shard_rows vectors and block_queries queries, so
-    its memory does not grow with the input. The k best of each shard are
-    merged per query.
+    ties go to the smaller id. Vectors stay where they are, in a staged table;
+    a block of queries, of at most about block_queries vectors and BLOCK_VALUES
+    components, is sent to all of them, and each task answers with the k best
+    of its rows. A task indexes shard_rows vectors at a time, and what it has
+    found in one index is the bar for the next.
 
     Vectors that are null or hold null, NaN or infinite components, and null
-    ids, take no part. Of rows that repeat an id the least vector counts. A
-    vector shorter than another counts as filled with zeros; an empty one has
-    score 0. Scores are exact while they stay below 2^53. Empty table: no rows.
-    Extra columns are ignored.
+    ids, take no part. Rows are told apart by a number, not by their id: of rows
+    that repeat an id each is a candidate, and each is a query with ranks of its
+    own if the id is divisible; only a query's own row is left out. A vector
+    shorter than another counts as filled with zeros; an empty one has score 0.
+    Scores are exact while they stay below 2^53. Empty table: no rows. Extra
+    columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).filter(
         F.col("id").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     )
-    ints = good.groupBy("id").agg(F.min("e").alias("e")).select("id", F.transform("e", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    n = vectors.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * block_queries)))
-
-    def numbers(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    rows = ints.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("b", numbers(blocks))
-    queries = ints.filter(F.col("id") % every == 0).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("s", numbers(shards))
-    found = queries.groupBy("b", "s").cogroup(rows.groupBy("b", "s")).applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with scratch() as keep:
+        ints = good.select("id", F.transform("e", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+        rows = stage(ints.withColumn("key", F.monotonically_increasing_id()), "topk-rows")
+        asked = rows.filter(F.col("id") % every == 0)
+        n, dims = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+        blocks = max(1, -(-n // min(block_queries, max(1, BLOCK_VALUES // max(1, dims)))))
+        found = []
+        for b in range(blocks):
+            t = asked.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("key", "v").toArrow()
+            sent = spark.sparkContext.broadcast((t["key"].to_numpy(), _matrix(t["v"])))
+            answers = rows.mapInArrow(lambda batches: _search(sent.value, batches, k, shard_rows), "query long, id long, score long")
+            found.append(stage(answers, "topk-found"))
+            sent.destroy()
+        keep += [rows, *found]
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+    best = reduce(DataFrame.union, found).withColumn("rank", rank).filter(F.col("rank") <= k)
+    names = asked.select(F.col("key").alias("query"), F.col("id").alias("query_id"))
+    return best.join(names, "query").select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -146,11 +177,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -59,12 +59,12 @@ def test_mix_empty_and_one_source(spark):
 
 
 def brute_top(rows, k, every, scale=64):
-    ok = {i: np.floor(scale * np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    ok = [(i, np.floor(scale * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, x in ok.items():
+    for n, (q, x) in enumerate(ok):
         if q % every == 0:
-            best = sorted((-int(x @ y), i) for i, y in ok.items() if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+            best = sorted((-int(x[: len(y)] @ y[: len(x)]), i) for m, (i, y) in enumerate(ok) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -86,7 +86,37 @@ def test_top_k(spark, shape):
 def test_top_k_of_zeros_and_repeats(spark):
     rows = [(0, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, -1.0]), (2, [1.0, -1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, topk.top_k(df, every=2, k=3).collect())) == [(0, 1, 1, 0), (0, 2, 2, 0), (2, 1, 0, 0), (2, 2, 1, 0)]
+    got = sorted(map(tuple, topk.top_k(df, every=2, k=3).collect()))
+    assert got == sorted([(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 2, 0), *2 * [(2, 1, 2, 128 * 64), (2, 2, 0, 0), (2, 3, 1, 0)]])
+
+
+def test_top_k_takes_every_row_of_a_repeated_id(spark, tmp_path):
+    """Rows of one id with different vectors, of queries too: as the SQL has it, and as brute force has it."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), rng.normal(0, 0.3, 6).astype(np.float32).tolist()) for i in rng.integers(0, 90, 500)]
+    rows += [(20, [1.0] * 6), (1, [0.5] * 6), (1, [0.875] * 6), (2, [0.25] * 6), (40, []), (60, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in topk.query(spark, str(tmp_path)).collect())
+    assert got == brute_top(rows, 20, 20)
+    same = [(i, v) for i, v in rows if len(v) == 6]  # the SQL wants vectors of one length
+    table = pa.table({"vec_id": pa.array([i for i, _ in same]), "embedding": pa.array([v for _, v in same], pa.list_(pa.float32()))})
+    want = duck(f"SELECT query_id, rank, vec_id, score FROM ({topk.SQL})", embeddings=table)
+    small = spark.createDataFrame(same, "vec_id long, embedding array<float>")
+    for shard, block in ((32, 3), (8192, 4096)):
+        assert sorted(map(tuple, topk.top_k(small, shard_rows=shard, block_queries=block).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
+def test_impact_index_skips_segments_on_proof():
+    """Far better rows end the search before the last level, with the right result."""
+    rng = np.random.default_rng(2)
+    rows = np.floor(rng.normal(0, 4, (400, 8)))
+    rows[7], rows[9], query = 60, 55, np.full(8, 3.0)
+    index = topk.ImpactIndex(rows, np.arange(400), np.arange(400))
+    touched = []
+    index.owner = type("Seen", (), {"__getitem__": lambda self, at, real=index.owner: touched.append(at[1].stop - at[1].start) or real[at]})()
+    at, score = index.search(query, -1, 1)
+    assert (at.tolist(), score.tolist()) == ([7], [60 * 24.0]) and sum(touched) < 400 * 8 // 2
 
 
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
