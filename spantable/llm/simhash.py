@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from spantable.cluster import ship, stage
+from spantable.cluster import free, scratch, ship, stage
 from spantable.llm.text import words
 
 BITS = 3
@@ -50,17 +50,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with simhash, a long; a column of that name is replaced."""
+def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "simhash") -> DataFrame:
+    """docs with the fingerprint of text, a long, as the last column; a column of that name is replaced."""
     ship(docs.sparkSession)
-    docs = docs.drop("simhash")
+    docs = docs.drop(name)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = pa.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, h], names=[*b.schema.names, "simhash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, h], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(add, StructType(list(docs.schema.fields)).add("simhash", LongType()))
+    return docs.mapInArrow(add, StructType(list(docs.schema.fields)).add(name, LongType()))
 
 
 def links(prints: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates a minimum over neighbours with a jump to the root's root, until
     nothing changes; a chain of n links takes about log n rounds. Every round
-    is cut off by a table in the shared folder.
+    is cut off by a table in the shared folder, and frees those of the round before.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage(both.filter("a <> b").distinct(), "cc-links")
@@ -174,11 +174,19 @@ def components(edges: DataFrame) -> DataFrame:
         top = hung.select(F.col("node").alias("root"), F.col("root").alias("upper"))
         new = stage(hung.join(top, "root", "left").select("node", F.least("root", F.coalesce("upper", "root")).alias("root")), "cc-roots")
         changed = new.join(roots.select("node", F.col("root").alias("old")), "node").filter("root <> old").limit(1).count()
+        free(roots, hung)
         roots = new
         if not changed:
+            free(both)
             return roots
 
 
+def _groups(prints: DataFrame, bits: int, limit: int) -> DataFrame:
+    """fp and root, one fingerprint of its group, for each distinct fingerprint fp."""
+    roots = components(stage(near_links(prints, bits, limit), "simhash-links"))
+    return prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """docs without text, with simhash (long) and component_id, the smallest doc_id of the document's group.
 
@@ -192,24 +200,50 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, l
     none. Repeated rows each get a row. Empty table: no rows. Other columns
     pass through; columns named simhash or component_id are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("text", "simhash", "component_id")]
-    rows = stage(with_fingerprint(docs.select(*rest, "text"), shingle).drop("text"), "simhash-prints")
-    prints = stage(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(stage(near_links(prints.select("fp"), bits, limit), "simhash-links"))
-    group = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    group = stage(group, "simhash-groups")
-    least = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stage(group.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(of, rows.simhash == of.fp).drop("fp")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group; groups without any id are kept. Repeats of a kept row are dropped."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_repeats"))
-    kept = docs.join(stage(keep, "simhash-kept"), "doc_id").select(*docs.columns, "_repeats")
-    once, more = kept.filter("_repeats = 1"), kept.filter("_repeats > 1").dropDuplicates(["doc_id"])
-    return once.union(more).drop("_repeats").union(docs.filter("doc_id is null"))
+    fp, of_group = _fresh(docs.columns, "fp"), "component_id"
+    rest = [c for c in docs.columns if c.lower() not in ("text", "simhash", "component_id")]
+    with scratch() as keep:
+        rows = stage(with_fingerprint(docs.select(*rest, "text"), shingle).drop("text"), "simhash-prints")
+        prints = stage(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        group = stage(_groups(prints.select("fp"), bits, limit).join(prints, "fp"), "simhash-groups")
+        least = group.groupBy("root").agg(F.min("least").alias(of_group))
+        of = stage(group.join(least, "root").select(F.col("fp").alias(fp), of_group), "simhash-components")
+        keep += [rows, of]
+    return rows.join(of, rows["simhash"] == of[fp]).drop(fp)
+
+
+def _fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as make it differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """One row of docs for each group of near duplicates, that of the smallest doc_id.
+
+    Decided row by row: of a group's rows the one with the least doc_id stays,
+    null ids last, and of rows that repeat it the first. So each group keeps
+    exactly one row, also where ids are null or repeated, and a row of another
+    group that has the same id is none of its business. Null and empty texts
+    are one group, with texts whose fingerprint is close to 0. Empty table: no
+    rows. Columns come back as they were, whatever their names.
+
+    Rows are staged once with their fingerprint and a number; everything is
+    decided on these. Texts move once, to meet the numbers that stay, by a
+    shuffle at every size.
+    """
+    fp, row = _fresh(docs.columns, "fp"), _fresh(docs.columns, "row")
+    with scratch() as keep:
+        rows = stage(with_fingerprint(docs, shingle, fp).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))).alias("first")
+        # partial minima per fingerprint keep a group of copies from meeting in one task
+        prints = stage(rows.groupBy(F.col(fp).alias("fp")).agg(first), "simhash-distinct")
+        groups = _groups(prints.select("fp"), bits, limit).join(prints, "fp")
+        kept = stage(groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "simhash-kept")
+        keep += [rows, kept]
+    return rows.join(kept.hint("shuffle_hash"), row).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
