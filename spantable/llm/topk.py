@@ -67,8 +67,8 @@ class ImpactIndex:
                 w *= np.concatenate([self.impact[j, a:b] for j, a, b in spans])
                 score += np.bincount(rows, w, n)
             most = (self.levels - 1 - i) * self.width - 1  # what a list not yet reached adds at most, times its weight
-            if i + 1 == self.levels or most * left.mean() < 2 * (score.mean() - base) + 1:
-                least = max(bar, np.partition(score, n - wanted)[n - wanted])
+            least = max(bar, np.partition(score, n - wanted)[n - wanted])
+            if i + 1 == self.levels or score.mean() + left.mean() * most < least:  # else most rows are still possible
                 possible = np.flatnonzero(score + left * max(most, 0.0) >= least)
                 if len(possible) <= 8 * wanted:
                     break
