@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spantable.operators.ranges import resolve
-from spantable.operators.sweep import _events, coverage, sweep
+from spantable.operators.sweep import coverage
 from spantable.operators.zoom import best_zoom
 
 SUMMARIES = ("mean", "std", "min", "max", "sum", "sum_squares", "bases_covered", "bin_covered")
@@ -57,10 +57,11 @@ def values(
 
 
 def _bases(rows: DataFrame, start: int, end: int, uncovered: float | None) -> DataFrame:
-    """Runs of equal sums are laid out base by base; only the range asked for is."""
-    v = F.col("v") if "v" in rows.columns else F.lit(1.0)
-    runs = sweep(_events(rows, v)).filter("k > 0").select(F.greatest("s", F.lit(start).cast("long")).alias("s"), F.least("e", F.lit(end).cast("long")).alias("e"), "v").filter("s < e")
-    at = runs.select(F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), "v")
+    """Rows are laid out base by base, features as runs of depth; only the range asked for is."""
+    runs = rows if "v" in rows.columns else coverage(rows).select("s", "e", F.col("depth").cast("double").alias("v"))
+    first, last = F.greatest("s", F.lit(start).cast("long")), F.least("e", F.lit(end).cast("long"))
+    runs = runs.select(first.alias("s"), last.alias("e"), F.col("v").cast("double").alias("v")).filter("s < e")
+    at = runs.select(F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), "v").groupBy("pos").agg(F.sum("v").alias("v"))
     every = rows.sparkSession.range(start, end).withColumnRenamed("id", "pos")
     return every.join(at, "pos", "left").select("pos", F.coalesce("v", F.lit(NAN if uncovered is None else uncovered)).alias("value"))
 

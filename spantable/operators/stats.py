@@ -45,16 +45,16 @@ def values_over_bed(regions: DataFrame, signal: DataFrame, fill: float = 0.0, wi
     """
     inner = overlap_join(regions.select("id", "chrom", "s", "e"), signal.select("chrom", "s", "e", "v"), width=width)
     parts = inner.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.greatest("s", "r_s").alias("a"), F.least("e", "r_e").alias("b"), F.col("r_v").alias("v")))).alias("_p"))
-    empty = F.array().cast("array<double>")
+    joined = regions.join(parts, "id", "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<struct<a:bigint,b:bigint,v:double>>")))
 
-    def lay(done, p):
-        gap = F.array_repeat(F.lit(fill), (p.a - done.at).cast("int"))
-        return F.struct(F.concat(done.out, gap, F.array_repeat(p.v, (p.b - p.a).cast("int"))).alias("out"), p.b.alias("at"))
+    def lay(p, i):
+        """What fills the bases from the row before to this one, and this one's; rows of a signal do not overlap."""
+        at = F.when(i == 0, F.col("s")).otherwise(F.element_at("_p", F.greatest(i, F.lit(1)).cast("int")).b)
+        return F.concat(F.array_repeat(F.lit(fill), (p.a - at).cast("int")), F.array_repeat(p.v, (p.b - p.a).cast("int")))
 
-    joined = regions.join(parts, "id", "left")
-    laid = F.aggregate(F.coalesce("_p", F.array().cast("array<struct<a:bigint,b:bigint,v:double>>")), F.struct(empty.alias("out"), F.col("s").alias("at")), lay)
-    tail = F.array_repeat(F.lit(fill), F.greatest(F.col("e") - F.col("_l.at"), F.lit(0)).cast("int"))
-    return joined.withColumn("_l", laid).withColumn("values", F.concat("_l.out", tail)).select(*regions.columns, "values")
+    done = F.when(F.size("_p") > 0, F.element_at("_p", -1).b).otherwise(F.col("s"))
+    tail = F.array_repeat(F.lit(fill), F.greatest(F.col("e") - done, F.lit(0)).cast("int"))
+    return joined.withColumn("values", F.concat(F.flatten(F.transform("_p", lay)), tail)).select(*regions.columns, "values")
 
 
 def values_text(regions: DataFrame, signal: DataFrame, delimiter: str = ",") -> DataFrame:

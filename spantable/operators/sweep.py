@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spantable.plans.overlap import WIDTH, overlap_join
-
 #: Bases that one window partition of a sweep holds.
 STRIDE = 1 << 16
+#: Tracks that one merge step has columns for.
+TRACKS = 8
 
 
 def sweep(events: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """Running sums of events(chrom, pos, d, n): rows chrom, s, e, v and k, the sums of d and n from s to e.
+    """Running sums of events(chrom, pos, d, n), whole numbers: rows chrom, s, e, v and k, the sums of d and n from s to e.
 
     A prefix sum in two levels. Events are netted by position; the sums of
     strides of the axis are summed along each chromosome, a few thousand rows
@@ -36,7 +36,9 @@ def sweep(events: DataFrame, stride: int = STRIDE) -> DataFrame:
     )
 
 
-def _events(track: DataFrame, value) -> DataFrame:
+def _events(track: DataFrame, value=None) -> DataFrame:
+    """Each row's start, which adds value (0) and a row, and its end, which takes both away; value must be whole, for sums to cancel."""
+    value = F.lit(0) if value is None else value
     rows = track.filter("s < e")
     ends = F.array(F.struct(F.col("s").alias("pos"), value.alias("d"), F.lit(1).alias("n")), F.struct(F.col("e").alias("pos"), (-value).alias("d"), F.lit(-1).alias("n")))
     return rows.select("chrom", F.explode(ends).alias("x")).select("chrom", "x.pos", "x.d", "x.n")
@@ -51,31 +53,77 @@ def coverage(features: DataFrame, stride: int = STRIDE) -> DataFrame:
 def join_runs(track: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Touching rows of equal value become one row; rows must not overlap.
 
-    A row's start and end are events of its value; where two rows of equal
-    value touch these cancel, so a sweep gives maximal runs.
+    Rows are compared with their neighbours, within strides of the axis by a
+    window, across strides by the last and the first row of each; NaN equals
+    NaN. No task holds a chromosome.
     """
-    return sweep(_events(track, F.col("v")), stride).filter("k > 0").select("chrom", "s", "e", "v")
-
-
-def merge(*tracks: DataFrame, how: str = "sum", clip: float | None = None, adjust: float = 0.0, threshold: float | None = 0.0, stride: int = STRIDE, width: int = WIDTH) -> DataFrame:
+    rows = track.filter("s < e").select("chrom", "s", "e", "v").withColumn("_b", F.floor(F.col("s") / stride).cast("long"))
+    inside, along = Window.partitionBy("chrom", "_b").orderBy("s"), Window.partitionBy("chrom").orderBy("_b")
+    edges = rows.groupBy("chrom", "_b").agg(F.min(F.struct("s", "v")).alias("first"), F.max(F.struct("s", "e", "v")).alias("last"))
+    edges = edges.select("chrom", "_b", F.lag("last").over(along).alias("_before"), F.lead("first").over(along).alias("_after"))
+    before = F.coalesce(F.lag(F.struct("s", "e", "v")).over(inside), F.col("_before"))
+    after = F.coalesce(F.lead(F.struct("s", "v")).over(inside), F.col("_after"))
+    begins = ~F.coalesce((before.e == F.col("s")) & before.v.eqNullSafe(F.col("v")), F.lit(False))
+    ends = ~F.coalesce((after.s == F.col("e")) & after.v.eqNullSafe(F.col("v")), F.lit(False))
+    marked = rows.join(edges, ["chrom", "_b"]).select("chrom", "_b", "s", "e", "v", begins.alias("begins"), F.when(ends, F.col("e")).alias("end"))
+    later = marked.groupBy("chrom", "_b").agg(F.min("end").alias("end"))
+    later = later.select("chrom", "_b", F.min("end").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    run = F.coalesce(F.min("end").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_later"))
+    return marked.join(later, ["chrom", "_b"]).select("chrom", "s", run.alias("e"), "v", "begins").filter("begins").drop("begins")
+
+
+def _combine(tracks: list[DataFrame], how: str, stride: int) -> DataFrame:
+    """Pieces (chrom, s, e, v) between the ends of all rows: v is the sum or max, in the order of tracks, of those that have data there.
+
+    At a cut each track has the value that its last event left, found by a
+    window within a stride and, for its begin, by one along the strides. So a
+    value counts exactly where its row lies, whatever stands elsewhere.
+    """
+    rows = reduce(DataFrame.union, [t.filter("s < e and v is not null").select("chrom", "s", "e", F.col("v").cast("double").alias("v"), F.lit(i).alias("t")) for i, t in enumerate(tracks)])
+    ends = F.array(F.struct(F.col("s").alias("pos"), F.struct(F.lit(1).alias("on"), "v").alias("x")), F.struct(F.col("e").alias("pos"), F.struct(F.lit(0).alias("on"), "v").alias("x")))
+    events = rows.select("chrom", "t", F.explode(ends).alias("c")).select("chrom", "t", "c.pos", "c.x")
+    names = [f"x{i}" for i in range(len(tracks))]
+    # where a row ends and the next one of its track begins, the begin counts
+    cuts = events.groupBy("chrom", "pos").agg(*[F.max(F.when(F.col("t") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])
+    cuts = cuts.withColumn("_b", F.floor(F.col("pos") / stride).cast("long"))
+    along, inside = Window.partitionBy("chrom").orderBy("_b"), Window.partitionBy("chrom", "_b").orderBy("pos")
+    last = [F.max(F.when(F.col(n).isNotNull(), F.struct("pos", F.col(n).alias("x")))).alias(n) for n in names]
+    strides = cuts.groupBy("chrom", "_b").agg(F.min("pos").alias("first"), *last)
+    carried = [F.last(f"{n}.x", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{n}") for n in names]
+    strides = strides.select("chrom", "_b", F.lead("first").over(along).alias("_next"), *carried)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = [F.coalesce(F.last(n, True).over(upto), F.col(f"_{n}")).alias(n) for n in names]
+    pieces = cuts.join(strides, ["chrom", "_b"]).select("chrom", F.col("pos").alias("s"), F.coalesce(F.lead("pos").over(inside), "_next").alias("e"), *now)
+    values = [F.when(F.col(f"{n}.on") == 1, F.col(f"{n}.v")) for n in names]
+    pieces = pieces.select("chrom", "s", "e", *[v.alias(n) for v, n in zip(values, names)]).filter(F.coalesce(*names).isNotNull())
+    if len(names) == 1:
+        v = F.col(names[0])
+    elif how == "max":
+        v = F.greatest(*names)
+    else:
+        v = reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0.0)) for n in names])
+    return pieces.select("chrom", "s", "e", v.alias("v"))
+
+
+def merge(*tracks: DataFrame, how: str = "sum", clip: float | None = None, adjust: float = 0.0, threshold: float | None = 0.0, stride: int = STRIDE) -> DataFrame:
     """One signal from several: where any has data, the sum (or max) of those that have.
 
     Then clip (values above it become it), adjust (added) and threshold (kept
     if above it), each once. Sums of 0 are dropped before that. Runs are
-    maximal. Sums add and take away values, so they are exact for values
-    whose sums are, such as multiples of a power of two.
+    maximal. Rows of one track must not overlap; where they do, one of them
+    counts. Infinite and NaN values count where their rows lie: a sum with NaN
+    is NaN, NaN is the greatest value and stays above any threshold. Null
+    values count as no data. More than TRACKS tracks are combined in groups.
     """
     if how not in ("sum", "max"):
         raise ValueError("how is sum or max")
-    every = reduce(DataFrame.unionByName, [t.select("chrom", "s", "e", "v") for t in tracks])
-    out = sweep(_events(every, F.col("v")), stride).filter("k > 0")
-    if how == "max":
-        pieces = out.select("chrom", "s", "e")
-        hit = overlap_join(pieces, every.filter("s < e"), width=width)
-        out = hit.groupBy("chrom", "s", "e").agg(F.max("r_v").alias("v"))
+    left = [t.select("chrom", "s", "e", "v") for t in tracks]
+    while len(left) > TRACKS:
+        left = [_combine(left[i : i + TRACKS], how, stride) for i in range(0, len(left), TRACKS)]
+    out = _combine(left, how, stride)
     v = F.least("v", F.lit(float(clip))) if clip is not None else F.col("v")
     out = out.filter("v <> 0").select("chrom", "s", "e", (v + F.lit(float(adjust))).alias("v"))
-    # where one track ends as another of the same value begins, the sum goes on but the count changes
+    # where one track ends as another of the same value begins, the sum goes on
     out = join_runs(out, stride)
     return out if threshold is None else out.filter(F.col("v") > threshold)
 
@@ -88,7 +136,7 @@ def fill_gaps(track: DataFrame, start: int = 0, end: int | None = None, stride:
     sweep that no row covers, so no task holds a chromosome.
     """
     rows = track.select("chrom", "s", "e", "v").filter("s < e")
-    inner = sweep(_events(rows, F.col("v")), stride).filter("k = 0 and e is not null").select("chrom", "s", "e")
+    inner = sweep(_events(rows), stride).filter("k = 0 and e is not null").select("chrom", "s", "e")
     ends = rows.groupBy("chrom").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
     outer = ends.select("chrom", F.lit(start).cast("long").alias("s"), F.col("lo").alias("e"))
     if end is not None:

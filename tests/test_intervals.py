@@ -115,7 +115,7 @@ def dense(rows, size=4000):
 @pytest.mark.parametrize("how", ["sum", "max"])
 def test_merge_against_bases(spark, how):
     tracks = [random_track(s) for s in (2, 4, 6)]
-    got = sweep.merge(*[text.from_rows(spark, t) for t in tracks], how=how, threshold=None, stride=64, width=32).orderBy("chrom", "s").collect()
+    got = sweep.merge(*[text.from_rows(spark, t) for t in tracks], how=how, threshold=None, stride=64).orderBy("chrom", "s").collect()
     stack = np.stack([dense(t)["c0"] for t in tracks])
     with np.errstate(all="ignore"):
         want = np.where(np.isnan(stack).all(0), 0, np.nansum(stack, 0) if how == "sum" else np.nanmax(np.where(np.isnan(stack), -1e9, stack), 0))
@@ -126,6 +126,46 @@ def test_merge_against_bases(spark, how):
     assert all(a["e"] < b["s"] or a["v"] != b["v"] for a, b in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("how", ["sum", "max"])
+def test_merge_of_values_that_no_sum_takes_back(spark, how):
+    """Tenths, 1e9, infinite and NaN values, against bases; touching equal runs join over strides, NaN with NaN."""
+    rng, tracks = random.Random(8), []
+    for seed in (2, 4, 6):
+        tracks.append([(c, s, e, rng.choice([0.1, 0.2, 0.3, 1e9, float("inf"), float("nan"), -0.1])) for c, s, e, _ in random_track(seed)])
+    tracks[0] += [("z", 0, 100, float("nan")), ("z", 100, 300, float("nan")), ("z", 300, 301, 0.1)]
+    frames = [text.from_rows(spark, t) for t in tracks]
+    with np.errstate(all="ignore"):
+        for stride in (16, 1 << 16):
+            got = sweep.merge(*frames, how=how, threshold=None, stride=stride).orderBy("chrom", "s").collect()
+            for chrom in ("c0", "z"):
+                want = np.zeros(4000)
+                any_ = np.zeros(4000, bool)
+                for t in tracks:
+                    for c, s, e, v in t:
+                        if c == chrom:
+                            want[s:e] = np.where(any_[s:e], want[s:e] + v if how == "sum" else np.where(np.isnan(want[s:e]), np.nan, np.maximum(want[s:e], v)), v)
+                            any_[s:e] = True
+                flat = np.zeros(4000)
+                for r in got:
+                    if r["chrom"] == chrom:
+                        flat[r["s"] : r["e"]] = r["v"]
+                assert np.array_equal(flat, np.where(any_, want, 0), equal_nan=True)
+            assert all(a["chrom"] != b["chrom"] or a["e"] < b["s"] or not (a["v"] == b["v"] or a["v"] != a["v"] and b["v"] != b["v"]) for a, b in zip(got, got[1:]))
+            assert [(r["s"], r["e"]) for r in got if r["chrom"] == "z"] == [(0, 300), (300, 301)]
+
+
+def test_merge_of_many_tracks(spark):
+    tracks = [text.from_rows(spark, [("c", i, i + 3, 1.0)]) for i in range(20)]
+    assert [tuple(r)[1:] for r in sweep.merge(*tracks).orderBy("s").collect()] == [(0, 1, 1.0), (1, 2, 2.0), (2, 20, 3.0), (20, 21, 2.0), (21, 22, 1.0)]
+
+
+def test_base_values_beside_infinite_and_nan(spark):
+    t = text.from_rows(spark, [("c", 0, 3, float("inf")), ("c", 3, 4, float("nan")), ("c", 4, 6, 1.0), ("c", 6, 8, 0.1)])
+    sizes = spark.createDataFrame([("c", 10)], "chrom string, length long")
+    got = raster.to_array(raster.values(t, sizes, "c", 0, 10))
+    assert np.array_equal(got, [np.inf] * 3 + [np.nan, 1, 1, 0.1, 0.1, np.nan, np.nan], equal_nan=True)
+
+
 def test_merge_options(spark):
     a, b = text.from_rows(spark, [("c", 0, 10, 1.0), ("c", 10, 20, 5.0)]), text.from_rows(spark, [("c", 5, 15, 2.0)])
     assert [tuple(r) for r in sweep.merge(a, b, clip=5.0, adjust=-2.0, threshold=0.0).orderBy("s").collect()] == [("c", 5, 10, 1.0), ("c", 10, 20, 3.0)]
