@@ -2,13 +2,18 @@
 
 Vectors become integers. Each dimension has two lists of postings, one for
 queries that want it high, with impact value - least value, and one for queries
-that want it low, with impact greatest value - value. A list is kept in
-segments, the rows of equal quantised impact, greatest first. A query opens one
-list for each of its dimensions and processes the segments of all of them level
-by level: a row's score so far is a lower bound, and each of its lists not yet
-reached adds at most the greatest impact of the next level times the query's
+that want it low, with impact greatest value - value. A posting segment is the
+rows of a list with the same quantised impact. The segments of one quantised
+impact are processed before those of the next lower one, for a block of queries
+at a time. A row's score so far is a lower bound, and each of a query's lists
+not yet reached adds at most the greatest impact of the next level times its
 weight. A query stops when these bounds prove that only a few rows can be among
-its best k; later segments are never touched. Those rows are rescored exactly.
+its best k; lower segments are never touched for it. Those rows are rescored
+exactly.
+
+A level whose segments are sparse is kept as lists of postings; one that holds
+more than DENSE of all postings is kept as a block, rows by lists with 0 where
+a posting lies in another level, and is added by a matrix product.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from spantable.cluster import scratch, ship, stage
 
 #: Vectors in an index; queries, and components of queries, that are sent to the indexes at once.
 SHARD_ROWS, BLOCK_QUERIES, BLOCK_VALUES = 8192, 4096, 1 << 22
-#: Quantised impacts.
-LEVELS = 8
+#: Quantised impacts, queries whose scores are held at once, and the share of all postings from which a level is kept as a block.
+LEVELS, TOGETHER, DENSE = 8, 256, 1 / 32
 
 
 class ImpactIndex:
@@ -35,44 +40,69 @@ class ImpactIndex:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, levels: int = LEVELS) -> None:
         self.rows, self.ids, self.keys = rows, ids, keys
         self.low, self.high = rows.min(0), rows.max(0)
-        impact = np.concatenate(((rows - self.low).T, (self.high - rows).T))  # lists x rows
+        impact = np.hstack([rows - self.low, self.high - rows])  # rows x lists
         self.width = max(1.0, np.ceil((impact.max(initial=0) + 1) / levels))
-        level = (impact // self.width).astype(np.int16)
-        self.levels = int(level.max(initial=0)) + 1
-        self.owner = np.argsort(-level, axis=1, kind="stable")
-        self.impact = np.take_along_axis(impact, self.owner, 1)
-        # first[list, i]: where the segment of the i-th greatest level begins
-        counts = np.stack([np.count_nonzero(level == i, axis=1) for i in range(self.levels - 1, -1, -1)], 1)
-        self.first = np.concatenate((np.zeros((len(impact), 1), np.int64), np.cumsum(counts, 1)), 1)
-
-    def search(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best rows, without that of key `own`; ties go to smaller ids.
-
-        bar: a score that k rows elsewhere reach; rows below it are left out.
+        self.level = (impact // self.width).astype(np.int8)
+        self.most = impact.max(initial=0)
+        self.segments: list[list[tuple[int, np.ndarray, np.ndarray]] | np.ndarray] = []  # by level: (list, rows, impacts), or a block
+        for i in range(int(self.level.max(initial=0)) + 1):
+            here = self.level == i
+            if np.count_nonzero(here) > DENSE * here.size:
+                self.segments.append(np.where(here, impact, 0))
+            else:
+                lists = np.flatnonzero(here.any(0))
+                self.segments.append([(j, r := np.flatnonzero(here[:, j]), impact[r, j]) for j in lists.tolist()])
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, bars: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: places and scores of its k best rows, without that of key `own`; ties go to smaller ids.
+
+        bars: for each query a score that k rows elsewhere reach; rows below it are left out.
         """
-        n, dims = self.rows.shape
+        out: list = [None] * len(queries)
+        bars = np.full(len(queries), -np.inf) if bars is None else bars
+        for at in range(0, len(queries), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            for i, found in self._search(queries[some], own[some], k, bars[some]):
+                out[at + i] = found
+        return out
+
+    def _search(self, queries: np.ndarray, own: np.ndarray, k: int, bars: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        n = len(self.ids)
         wanted = min(n, k + 1)  # the query's own row may be among them
-        lists = np.flatnonzero(query)
-        weights = np.abs(query[lists])
-        base = float(np.where(query > 0, query * self.low, query * self.high).sum())
-        lists = np.where(query[lists] > 0, lists, lists + dims)
-        score, left = np.full(n, base), np.full(n, weights.sum())
-        for i in range(self.levels):
-            spans = list(zip(lists.tolist(), self.first[lists, i].tolist(), self.first[lists, i + 1].tolist()))
-            sizes = self.first[lists, i + 1] - self.first[lists, i]
-            if sizes.any():
-                rows = np.concatenate([self.owner[j, a:b] for j, a, b in spans])
-                w = np.repeat(weights, sizes)
-                left -= np.bincount(rows, w, n)
-                w *= np.concatenate([self.impact[j, a:b] for j, a, b in spans])
-                score += np.bincount(rows, w, n)
-            most = (self.levels - 1 - i) * self.width - 1  # what a list not yet reached adds at most, times its weight
-            least = max(bar, np.partition(score, n - wanted)[n - wanted])
-            if i + 1 == self.levels or score.mean() + left.mean() * most < least:  # else most rows are still possible
-                possible = np.flatnonzero(score + left * max(most, 0.0) >= least)
-                if len(possible) <= 8 * wanted:
-                    break
-        return self._best(possible, query, own, k)
+        few = max(8 * wanted, n // 32)
+        weights = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)]).T
+        # what each score leaves out: weights times the values at which the lists' impacts are 0
+        base = np.maximum(queries, 0) @ self.low - np.maximum(-queries, 0) @ self.high
+        # single precision holds whole numbers below 2^24 exactly
+        exact = np.float32 if (self.most + self.width) * weights.sum(0).max(initial=0) < 1 << 24 else np.float64
+        weights, bars = weights.astype(exact), bars - base
+        open_, score = np.arange(len(queries)), np.zeros((n, len(queries)), exact)
+        for i in range(len(self.segments) - 1, -1, -1):
+            w, segments = weights[:, open_], self.segments[i]
+            if isinstance(segments, np.ndarray):
+                score += segments.astype(exact) @ w
+            else:
+                for j, rows, impacts in segments:
+                    score[rows] += impacts[:, None].astype(exact) * w[j]
+            # what the lists not yet reached add at most
+            most, unseen = max(0.0, i * self.width - 1), (self.level < i).astype(exact)
+
+            def possible(cols: np.ndarray) -> np.ndarray:
+                seen = score[:, cols]
+                least = np.maximum(np.partition(seen, n - wanted, axis=0)[n - wanted], bars[open_[cols]])
+                return seen + unseen @ w[:, cols] * exact(most) >= least
+
+            # a few queries first: where these are far from a proof, so are the others
+            if i and np.count_nonzero(possible(np.arange(0, len(open_), 32)), axis=0).min() > few:
+                continue
+            may = possible(np.arange(len(open_)))
+            proved = np.full(len(open_), True) if i == 0 else np.count_nonzero(may, axis=0) <= few
+            for c in np.flatnonzero(proved):
+                q = open_[c]
+                yield q, self._best(np.flatnonzero(may[:, c]), queries[q], own[q], k)
+            open_, score = open_[~proved], score[:, ~proved]
+            if not len(open_):
+                return
 
     def _best(self, possible: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         possible = possible[self.keys[possible] != own]
@@ -105,11 +135,10 @@ def _search(queries: tuple[np.ndarray, np.ndarray], batches: Iterator[pa.RecordB
         x = _matrix(t["v"], q.shape[1])
         index = ImpactIndex(x, t["id"].to_numpy(), t["key"].to_numpy())
         wide = np.pad(q, ((0, 0), (0, x.shape[1] - q.shape[1])))
-        for i, o in enumerate(own.tolist()):
-            ids, scores = best[i]
-            at, new = index.search(wide[i], o, k, scores[-1] if len(scores) == k else -np.inf)
+        bars = np.array([scores[-1] if len(scores) == k else -np.inf for _, scores in best])
+        for i, (at, new) in enumerate(index.search(wide, own, k, bars)):
             if len(at):
-                ids, scores = np.concatenate((ids, index.ids[at])), np.concatenate((scores, new))
+                ids, scores = np.concatenate((best[i][0], index.ids[at])), np.concatenate((best[i][1], new))
                 order = np.lexsort((ids, -scores))[:k]
                 best[i] = ids[order], scores[order]
 
