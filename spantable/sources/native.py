@@ -26,6 +26,7 @@ from spantable.operators import validate
 from spantable.operators.stats import track_summary
 from spantable.operators.zoom import build_zooms, zoom_anchored
 from spantable.sources import autosql
+from spantable.sources.storage import open_file
 
 # Fixed values of the format.
 SIGNAL_MAGIC, FEATURE_MAGIC, NAMES_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x8789F2EB, 0x78CA8C91, 0x2468ACE0
@@ -41,22 +42,12 @@ class NativeError(ValueError):
     """The file is no bigWig or bigBed, or is damaged."""
 
 
-def _open(path: str):
-    """A random-access file, local or in a store that pyarrow knows."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///") if path.startswith("file:/") and not path.startswith("file://") else path)
-        return system.open_input_file(inner)
-    return fs.LocalFileSystem().open_input_file(path)
-
-
 class NativeFile:
     """Header, names and indexes of one file; every method opens the file anew, so it can be sent to tasks."""
 
     def __init__(self, path: str) -> None:
         self.path = path
-        with _open(path) as f:
+        with open_file(path) as f:
             raw = f.read_at(64, 0)
             if len(raw) < 64:
                 raise NativeError(f"{path}: too short")
@@ -103,7 +94,7 @@ class NativeFile:
             return 'table bedGraph\n"bedGraph file"\n(\n    string chrom;      "Reference sequence chromosome or scaffold"\n    uint   chromStart; "Start position in chromosome"\n    uint   chromEnd;   "End position in chromosome"\n    float  value;      "Value for a given interval"\n)\n'
         if not self.sql_at:
             return ""
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             out = b""
             while b"\0" not in out:
                 more = f.read_at(1024, self.sql_at + len(out))
@@ -117,7 +108,7 @@ class NativeFile:
         names = ("bases", "min", "max", "sum", "sum_squares")
         if not self.summary_at:
             return dict.fromkeys(names, 0)
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             return dict(zip(names, struct.unpack(self.order + SUMMARY, f.read_at(40, self.summary_at))))
 
     def info(self) -> dict:
@@ -133,7 +124,7 @@ class NativeFile:
             raise KeyError(f"no zoom level {zoom}")
         at = self.index_at if zoom is None else self.zooms[zoom]
         out = []
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             if struct.unpack(self.order + "I", f.read_at(4, at))[0] != INDEX_MAGIC:
                 raise NativeError(f"{self.path}: no index")
             todo = [at + 48]
@@ -150,7 +141,7 @@ class NativeFile:
         """The rows of these sections, one batch each."""
         names = np.array([c[0] for c in self.chroms], object)
         number = {c[1]: i for i, c in enumerate(self.chroms)}
-        with _open(self.path) as f:
+        with open_file(self.path) as f:
             for at, size in blocks:
                 raw = f.read_at(size, at)
                 if self.buffer:
