@@ -1,8 +1,8 @@
 """TIFF columns: walk image directories, decode strips and tiles, one row per page.
 
-Classic and big TIFF in both byte orders; 8-bit and 16-bit unsigned samples,
-chunky planes; compressions none, PackBits, LZW and deflate; predictors none and
-horizontal difference.
+Classic and big TIFF in both byte orders; unsigned samples of 1, 2, 4, 8, 16 and
+32 bits, together or in separate planes; compressions none, PackBits, LZW and
+deflate; predictors none and horizontal difference.
 """
 
 from __future__ import annotations
@@ -25,17 +25,26 @@ from spantable.cluster import ship
 # Fixed values of the TIFF 6.0 specification.
 NONE, LZW, DEFLATE, PACKBITS, DEFLATE_OLD = 1, 5, 8, 32773, 32946
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, STRIP_ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 284, 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 266, 284, 317, 322, 323, 324, 325, 339
 FORMATS = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
+# The most bytes that one byte of data can stand for: a PackBits run, an LZW code (12 bits for up to 3,840 bytes), a deflate match.
+GROWTH = {NONE: 1, PACKBITS: 64, LZW: 2560, DEFLATE: 1032, DEFLATE_OLD: 1032}
+
 ROW = 64
 STRIP = 65536
+#: Bytes of a page's samples that a reader unfolds at most; a larger page is an error of that page.
+MAX_PAGE = 1 << 30
 
 
 class TiffError(ValueError):
     """The bytes are no TIFF that this reader knows."""
 
 
+class BrokenFile(TiffError):
+    """The chain of image directories cannot be followed: no page is at fault."""
+
+
 def pack_bits(raw: bytes) -> bytes:
     """PackBits: runs of 2 to 128 equal bytes, literals of 1 to 128 bytes."""
     out, i, n = bytearray(), 0, len(raw)
@@ -217,67 +226,127 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 
 
 def _directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
+    """Byte order and tags of each image directory; raises where the chain of directories cannot be followed."""
     if data[:2] not in (b"II", b"MM") or len(data) < 8:
-        raise TiffError("no TIFF header")
+        raise BrokenFile("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
     try:
         magic = struct.unpack_from(order + "H", data, 2)[0]
         if magic not in (42, 43):
-            raise TiffError("no TIFF header")
+            raise BrokenFile("no TIFF header")
         big = magic == 43
         offset, count, inline = ("Q", "Q", 8) if big else ("I", "H", 4)
         at, visited = struct.unpack_from(order + offset, data, 8 if big else 4)[0], set()
         while at:
             if at in visited:
-                raise TiffError("the image directories form a loop")
+                raise BrokenFile("the image directories form a loop")
             visited.add(at)
             n = struct.unpack_from(order + count, data, at)[0]
             at += struct.calcsize(order + count)
+            entry = struct.calcsize(order + "HH" + offset) + inline
+            if at + n * entry > len(data):
+                raise BrokenFile("the file ends early")
             tags: dict[int, list[int]] = {}
             for _ in range(n):
                 tag, kind, m = struct.unpack_from(order + "HH" + offset, data, at)
-                place = at + struct.calcsize(order + "HH" + offset)
+                place = at + entry - inline
                 if kind in FORMATS:
-                    form = f"{order}{m}{FORMATS[kind]}"
-                    if struct.calcsize(form) > inline:
+                    size = m * struct.calcsize(FORMATS[kind])
+                    if size > inline:
                         place = struct.unpack_from(order + offset, data, place)[0]
-                    tags[tag] = list(struct.unpack_from(form, data, place))
-                at += 20 if big else 12
+                    # values beyond the end are none: that spoils this page, not those after it
+                    tags[tag] = list(struct.unpack_from(f"{order}{m}{FORMATS[kind]}", data, place)) if place + size <= len(data) else []
+                at += entry
             yield order, tags
             at = struct.unpack_from(order + offset, data, at)[0]
-    except struct.error as e:
-        raise TiffError("the file ends early") from e
+    except (struct.error, OverflowError) as e:
+        raise BrokenFile("the file ends early") from e
+
+
+def _samples(raw: bytes, rows: int, width: int, bits: int, order: str) -> np.ndarray:
+    """Rows of samples, each row filled up to whole bytes, as unsigned integers."""
+    if bits >= 8:
+        return np.frombuffer(raw, f"{order}u{bits // 8}").reshape(rows, width)
+    each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : width * bits].reshape(rows, width, bits)
+    return np.packbits(each, axis=2)[:, :, 0] >> (8 - bits)
+
+
+def _page(data: bytes, order: str, tags: dict[int, list[int]], max_page: int) -> tuple[dict, np.ndarray]:
+    def one(tag: int, default: int | None = None) -> int:
+        values = tags.get(tag, [] if default is None else [default])
+        if not values or values[0] < 0:
+            raise TiffError(f"tag {tag} is missing or has no value")
+        return values[0]
+
+    w, h, n, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
+    compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1) if one(SAMPLES, 1) > 1 else 1
+    if not w or not h or not n:
+        raise TiffError("a page has no size")
+    if bits not in (1, 2, 4, 8, 16, 32) or len(set(tags.get(BITS, [1]))) > 1 or tags.get(SAMPLE_FORMAT, [1])[0] not in (1, 4):
+        raise TiffError("samples of this kind are not known")
+    if planar not in (1, 2) or predictor not in (1, 2) or predictor == 2 and bits < 8 or compression not in GROWTH or one(FILL_ORDER, 1) != 1:
+        raise TiffError("planes, a predictor, a compression or an order of bits that is not known")
+    tiled = TILE_OFFSETS in tags
+    tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(h, one(STRIP_ROWS, h)))
+    if not tw or not th:
+        raise TiffError("strips or tiles have no size")
+    planes, per = (n, 1) if planar == 2 else (1, n)
+    across, down = -(-w // tw), -(-h // th)
+    offsets, sizes = (tags[TILE_OFFSETS], tags.get(TILE_BYTES, [])) if tiled else (tags.get(STRIP_OFFSETS, []), tags.get(STRIP_BYTES, []))
+    if len(offsets) < across * down * planes or len(sizes) < len(offsets):
+        raise TiffError("strips or tiles are missing")
+    offsets, sizes = offsets[: across * down * planes], sizes[: across * down * planes]
+    row_bytes, wide = -(-tw * per * bits // 8), max(1, bits // 8)
+    if h * w * n * wide > max_page:
+        raise TiffError(f"a page of more than {max_page} bytes")
+    for i, (at, size) in enumerate(zip(offsets, sizes)):
+        rows = th if tiled else min(th, h - i % (across * down) // across * th)
+        if at + size > len(data):
+            raise TiffError("the file ends early")
+        if rows * row_bytes > size * GROWTH[compression]:
+            raise TiffError("a strip or tile ends early")
+    out = np.zeros((h, w, n), f"=u{wide}")
+    for i, (at, size) in enumerate(zip(offsets, sizes)):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * th, place % across * tw
+        rows = th if tiled else min(th, h - y)
+        part = _samples(_unpack(data[at : at + size], rows * row_bytes, compression), rows, tw * per, bits, order).astype(out.dtype).reshape(rows, tw, per)
+        if predictor == 2:
+            part = np.cumsum(part, 1, dtype=part.dtype)
+        out[y : y + rows, x : x + tw, plane : plane + per] = part[: h - y, : w - x]
+    return {"compression": compression, "predictor": predictor, "parts": len(offsets), "tiled": tiled, "bits": bits}, out
 
 
-def read_pages(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
-    """For each image directory: what it says, and its samples as a (height, width, samples) array."""
-    for order, tags in _directories(data):
+def walk_pages(data: bytes, max_page: int = MAX_PAGE) -> Iterator[tuple[dict, np.ndarray] | TiffError]:
+    """For each image directory: what it says and its samples as a (height, width, samples) array, or why they cannot be read.
+
+    Whatever the bytes are, nothing else is raised, and no more memory is asked
+    for than the data can fill or max_page allows. Where the chain of
+    directories breaks, one error ends it.
+    """
+    directories = _directories(data)
+    while True:
         try:
-            (w,), (h,) = tags[WIDTH], tags[HEIGHT]
-        except (KeyError, ValueError) as e:
-            raise TiffError("a page has no size") from e
-        n, bits = tags.get(SAMPLES, [1])[0], tags.get(BITS, [1])[0]
-        compression, predictor = tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0]
-        if bits not in (8, 16) or tags.get(PLANAR, [1])[0] != 1 and n > 1 or predictor not in (1, 2):
-            raise TiffError("a page has samples, planes or a predictor that are not known")
-        dtype = np.dtype(f"{order}u{bits // 8}")
-        tiled = TILE_OFFSETS in tags
-        tw, th = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(h, tags.get(STRIP_ROWS, [h])[0]))
-        across = -(-w // tw) if tw else 0
-        out = np.zeros((h, w, n), dtype.newbyteorder("="))
-        offsets, sizes = (tags.get(TILE_OFFSETS, []), tags.get(TILE_BYTES, [])) if tiled else (tags.get(STRIP_OFFSETS, []), tags.get(STRIP_BYTES, []))
-        if len(offsets) < across * (-(-h // th) if th else 0) or len(sizes) < len(offsets):
-            raise TiffError("strips or tiles are missing")
-        for i, (at, size) in enumerate(zip(offsets, sizes)):
-            y, x = i // across * th, i % across * tw
-            rows = th if tiled else min(th, h - y)
-            if at + size > len(data):
-                raise TiffError("the file ends early")
-            part = np.frombuffer(_unpack(data[at : at + size], rows * tw * n * dtype.itemsize, compression), dtype).astype(out.dtype).reshape(rows, tw, n)
-            if predictor == 2:
-                part = np.cumsum(part, 1, dtype=part.dtype)
-            out[y : y + rows, x : x + tw] = part[: h - y, : w - x]
-        yield {"compression": compression, "predictor": predictor, "parts": len(offsets), "tiled": tiled, "bits": bits}, out
+            order, tags = next(directories)
+        except StopIteration:
+            return
+        except BrokenFile as e:
+            yield e
+            return
+        try:
+            yield _page(data, order, tags, max_page)
+        except TiffError as e:
+            yield e
+        except (ValueError, IndexError, KeyError, OverflowError, MemoryError, struct.error) as e:
+            yield TiffError(f"a page cannot be read: {type(e).__name__} {e}")
+
+
+def read_pages(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
+    """walk_pages() that raises at the first error."""
+    for page in walk_pages(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -321,14 +390,17 @@ def _slices(batch: pa.RecordBatch, col: str, most: int = 16 << 20) -> Iterator[p
         yield batch.slice(begin)
 
 
-def media_pages(df: DataFrame, key_cols: list[str], media_col: str = "media", samples: bool = True) -> DataFrame:
+def media_pages(df: DataFrame, key_cols: list[str], media_col: str = "media", samples: bool = True, max_page: int = MAX_PAGE) -> DataFrame:
     """One row per page of each TIFF in media_col: the key columns, and what the page holds.
 
     page (from 0), width, height, channels, bits, compression, predictor,
-    parts, samples (binary, rows of 8-bit samples or 16-bit little-endian
-    ones), media_bytes, media_sha256, error. Null media and bytes that are no
-    readable TIFF give one row with page and all else null and error set;
-    pages before a broken one are kept. `samples=False` leaves that column null.
+    parts, samples (binary, rows of 8-bit samples or of little-endian 16-bit
+    or 32-bit ones, samples of less than 8 bits a byte each), media_bytes,
+    media_sha256, error. A page that cannot be read has a row with its number
+    and error; those before and after it have theirs. Null media, and bytes that
+    are no TIFF or whose chain of pages breaks, have a row with error and
+    without a page, after the pages before the break. `samples=False` leaves
+    that column null.
     """
     ship(df.sparkSession)
     fields = "page int, width int, height int, channels int, bits int, compression int, predictor int, parts int, samples binary, samples_sha256 string, tail_crc32 long, sample_sum long, distinct int, media_bytes long, media_sha256 string, error string"
@@ -348,19 +420,20 @@ def media_pages(df: DataFrame, key_cols: list[str], media_col: str = "media", sa
                         rows.append(dict.fromkeys(names) | {"error": "no media"})
                         continue
                     same = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
-                    try:
-                        for page, (say, a) in enumerate(read_pages(data)):
-                            raw = a.astype(a.dtype.newbyteorder("<"), copy=False).tobytes()
-                            at.append(i)
-                            rows.append(
-                                same
-                                | {k: say[k] for k in ("compression", "predictor", "parts", "bits")}
-                                | {"page": page, "width": a.shape[1], "height": a.shape[0], "channels": a.shape[2], "samples": raw if samples else None, "error": None}
-                                | {"samples_sha256": hashlib.sha256(raw).hexdigest(), "tail_crc32": zlib.crc32(raw[-64:]), "sample_sum": int(a.sum(dtype=np.int64)), "distinct": int(np.count_nonzero(np.bincount(a.ravel(), minlength=256)))}
-                            )
-                    except TiffError as e:
+                    for page, found in enumerate(walk_pages(data, max_page)):
                         at.append(i)
-                        rows.append(dict.fromkeys(names) | same | {"error": str(e)})
+                        if isinstance(found, TiffError):
+                            rows.append(dict.fromkeys(names) | same | {"page": None if isinstance(found, BrokenFile) else page, "error": str(found)})
+                            continue
+                        say, a = found
+                        raw = a.astype(a.dtype.newbyteorder("<"), copy=False).tobytes()
+                        values = np.count_nonzero(np.bincount(a.ravel())) if a.dtype.itemsize < 4 else len(np.unique(a))
+                        rows.append(
+                            same
+                            | {k: say[k] for k in ("compression", "predictor", "parts", "bits")}
+                            | {"page": page, "width": a.shape[1], "height": a.shape[0], "channels": a.shape[2], "samples": raw if samples else None, "error": None}
+                            | {"samples_sha256": hashlib.sha256(raw).hexdigest(), "tail_crc32": zlib.crc32(raw[-64:]), "sample_sum": int(a.sum(dtype=np.int64)), "distinct": int(values)}
+                        )
                 keys = pa.table({c: b.column(c) for c in key_cols}).take(pa.array(at, pa.int64()))
                 made = pa.Table.from_pylist(rows, schema=arrow)
                 for c in names:
