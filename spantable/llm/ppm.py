@@ -13,8 +13,9 @@ each of the most frequent languages that training documents state, and one for
 the rest; a document's probability is the mixture of what these say.
 
 Pretrained scoring never holds the corpus model in one place. Texts are cut
-into blocks. A block asks for what it needs, the counts of its distinct words
-and the probabilities of its distinct 5-grams, and gets these by shuffles.
+into blocks. A block asks for what it needs, the counts of its words that other
+blocks have too and the probabilities of its distinct 5-grams, and gets these
+by shuffles.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship, stage
@@ -96,26 +97,68 @@ def _grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code, owner
 
 
-def _running_grams(tokens: list[np.ndarray], spaced: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Some documents at a time, first and end: the 5-grams of their running text and its end, and which of these documents each is of.
+def _text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 5-grams of running texts, each with START before it, and which text each is of."""
+    owner = np.repeat(np.arange(len(texts)), [len(x) - 4 for x in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.arange(len(owner)) + 4 * (owner + 1)
+    code = np.zeros(len(at), np.int64)
+    for k in range(4, -1, -1):
+        code = code << 8 | data[at - k]
+    return code, owner
 
-    spaced: the words and their spaces, by number.
-    """
+
+def _running_text(ws: list[bytes]) -> bytes:
+    """Words, a space after each, between START and the end."""
+    return b"".join((START, b" ".join(ws), b" " if ws else b"", bytes((END,))))
+
+
+def _running_grams(tokens: list[np.ndarray], ws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Some documents at a time, first and end: their 5-grams, and which of these documents each is of. ws: the words by number."""
     first, size, texts = 0, 0, []
     for i, t in enumerate(tokens):
-        texts.append(b"".join((START, *map(spaced.__getitem__, t.tolist()), bytes((END,)))))
+        texts.append(_running_text([ws[x] for x in t.tolist()]))
         size += len(texts[-1])
         if size >= CHUNK_BYTES or i + 1 == len(tokens):
-            owner = np.repeat(np.arange(len(texts)), [len(x) - 4 for x in texts])
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            at = np.arange(len(owner)) + 4 * (owner + 1)
-            code = np.zeros(len(at), np.int64)
-            for k in range(4, -1, -1):
-                code = code << 8 | data[at - k]
-            yield first, i + 1, code, owner
+            yield first, i + 1, *_text_grams(texts)
             first, size, texts = i + 1, 0, []
 
 
+class _Tally:
+    """5-grams of running texts with their counts by class, -1: not learned; texts are counted some at a time."""
+
+    def __init__(self) -> None:
+        self.texts: dict[int, list[bytes]] = defaultdict(list)
+        self.sizes: dict[int, int] = defaultdict(int)
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, k: int, text: bytes) -> None:
+        self.texts[k].append(text)
+        self.sizes[k] += len(text)
+        if self.sizes[k] >= CHUNK_BYTES:
+            self._count(k)
+
+    def _count(self, k: int) -> None:
+        grams, n = np.unique(_text_grams(self.texts.pop(k))[0], return_counts=True)
+        self.sizes[k] = 0
+        if k in self.found:
+            every = np.concatenate((self.found[k][0], grams))
+            grams, at = np.unique(every, return_inverse=True)
+            n = np.bincount(at, np.concatenate((self.found[k][1], n)), len(grams)).astype(np.int64)
+        self.found[k] = grams, n
+
+    def counts(self, classes: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All 5-grams, and the counts of each class."""
+        for k in list(self.texts):
+            self._count(k)
+        grams = np.unique(np.concatenate([g for g, _ in self.found.values()]))
+        counts = [np.zeros(len(grams), np.int64) for _ in range(classes)]
+        for k, (g, n) in self.found.items():
+            if k >= 0:
+                counts[k][np.searchsorted(grams, g)] = n
+        return grams, counts
+
+
 class _Index(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -128,13 +171,13 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int, running: bool) -> D
     docs: doc_id, text, held, class (a number below classes).
     """
     many = [(f"train_{k}", pa.list_(pa.int64())) for k in range(classes)]
-    fields = [("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("word_train", pa.list_(pa.int64())), ("class_docs", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), *many]
+    fields = [("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("word_train", pa.list_(pa.int64())), ("n_learned", pa.int64()), ("n_trained", pa.int64()), ("class_docs", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), *many]
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("ppm")
         block, size = TaskContext.get().partitionId() << 32, 0
-        index, ids, outs, of, tokens = _Index(), [], [], [], []
+        index, ids, outs, of, tokens, tally = _Index(), [], [], [], [], _Tally()
 
         def word_counts(ws: list[bytes], by_class: list[np.ndarray], seen: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
             # a chunk of words at a time: the 5-grams of all words at once would take most of a task's memory
@@ -147,18 +190,6 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int, running: bool) -> D
                     counts[k] += np.bincount(which, by_class[k][i : i + CHUNK][owner], len(grams)).astype(np.int64)
             return grams, counts
 
-        def running_counts(ws: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-            spaced, found = [w + b" " for w in ws], []
-            for k in range(-1, classes):  # -1: held out, without counts
-                for _, _, code, _ in _running_grams([t for t, h, c in zip(tokens, outs, of) if (-1 if h else c) == k], spaced):
-                    found.append((k, *np.unique(code, return_counts=True)))
-            grams = np.unique(np.concatenate([u for _, u, _ in found]))
-            counts = [np.zeros(len(grams), np.int64) for _ in range(classes)]
-            for k, u, n in found:
-                if k >= 0:
-                    counts[k][np.searchsorted(grams, u)] += n
-            return grams, counts
-
         def close() -> pa.RecordBatch:
             ws = list(index)
             seen, by_class = [], []
@@ -168,11 +199,11 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int, running: bool) -> D
                 seen.append(len(learn))
             train = sum(by_class)
             if running:
-                grams, counts = running_counts(ws)
+                grams, counts = tally.counts(classes)
             else:
                 grams, counts = word_counts(ws, by_class, seen)
             flat = np.concatenate(tokens).astype("<i4", copy=False).tobytes() if tokens else b""
-            row = [block, ids, outs, [len(t) for t in tokens], zlib.compress(flat, 1), ws, train, seen, grams, *counts]
+            row = [block, ids, outs, [len(t) for t in tokens], zlib.compress(flat, 1), ws, train, int(np.count_nonzero(train)), int(train.sum()), seen, grams, *counts]
             return pa.RecordBatch.from_arrays([pa.array([x], f[1]) for x, f in zip(row, fields)], schema=schema)
 
         for b in batches:
@@ -183,82 +214,153 @@ def _blocks(docs: DataFrame, classes: int, block_bytes: int, running: bool) -> D
                 if ids and size + n > block_bytes:
                     yield close()
                     block, size = block + 1, 0
-                    index, ids, outs, of, tokens = _Index(), [], [], [], []
+                    index, ids, outs, of, tokens, tally = _Index(), [], [], [], [], _Tally()
+                    pa.default_memory_pool().release_unused()
                 ids.append(d)
                 outs.append(h)
                 of.append(c)
                 tokens.append(np.fromiter(map(index.__getitem__, w), np.int32, len(w)))
+                if running:
+                    tally.add(-1 if h else c, _running_text(w))
                 size += n
         if ids:
             yield close()
 
-    spark_fields = "block long, docs array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<binary>, word_train array<long>, class_docs array<long>, grams array<long>"
+    spark_fields = "block long, docs array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<binary>, word_train array<long>, n_learned long, n_trained long, class_docs array<long>, grams array<long>"
     spark_fields += "".join(f", train_{k} array<long>" for k in range(classes))
     return stage(docs.mapInArrow(cut, spark_fields), "ppm-blocks")
 
 
-def gram_probabilities(gram: np.ndarray, n: np.ndarray, order1: np.ndarray) -> np.ndarray:
-    """log10 probabilities of 5-grams that share the two bytes before the symbol.
+class LowerOrders:
+    """What orders 2, 1 and 0 of one class need of the whole training text, as tables by their contexts.
 
-    n: training counts of these 5-grams; order1[a, s]: how often s follows a,
-    over the whole training text. All symbols of a context are ruled out in
-    the next shorter one, and there they have counts, so what is left over is a
-    difference of sums.
+    order1[a, s]: how often s follows a. total2, distinct2 and ruled1, by the
+    two bytes before: symbols seen there, distinct ones, and the order-1 counts
+    of those.
     """
-    symbol = gram & 255
-    last = int(gram[0] >> 8) & 255
-    c1, c0 = order1[last], order1.sum(0)
-    p = np.zeros(len(gram))
-    open_ = np.ones(len(gram), bool)
-    ruled_sum, ruled_n = np.zeros(len(gram)), np.zeros(len(gram))
-
-    def step(count, total, distinct) -> None:
-        """One order: count of each symbol, total and distinct symbols of its context."""
+
+    def __init__(self, order1: np.ndarray, total2: np.ndarray, distinct2: np.ndarray, ruled1: np.ndarray) -> None:
+        self.order1, self.total2, self.distinct2, self.ruled1 = order1, total2, distinct2, ruled1
+        self.total1, self.distinct1 = order1.sum(1), np.count_nonzero(order1, axis=1)
+        self.order0 = order1.sum(0)
+        self.ruled0 = (order1 > 0) @ self.order0
+        self.unseen = max(1, 256 - np.count_nonzero(self.order0))
+
+
+def gram_probabilities(gram: np.ndarray, n: np.ndarray, n2: np.ndarray, low: LowerOrders) -> np.ndarray:
+    """log10 probabilities of 5-grams, all of those that share three bytes before the symbol with one of them.
+
+    n: training counts of these 5-grams; n2: those of their last two bytes and
+    symbol, over the whole training text. All symbols of a context are ruled
+    out in the next shorter one, and there they have counts, so what is left
+    over is a difference of sums.
+    """
+    p, open_ = np.zeros(len(gram)), np.ones(len(gram), bool)
+
+    def step(count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> None:
+        """One order: count of each symbol, total and distinct symbols of its context, without those ruled out."""
         nonlocal open_
-        t, q = total - ruled_sum, distinct - ruled_n
-        known = open_ & (q > 0)
-        hit = known & (count > 0)
-        p[hit] += np.log10(count[hit] / (t + q)[hit])
-        miss = known & (count == 0)
-        p[miss] += np.log10(q[miss] / (t + q)[miss])
+        known = open_ & (distinct > 0)
+        hit, miss = known & (count > 0), known & (count == 0)
+        p[hit] += np.log10(count[hit] / (total + distinct)[hit])
+        p[miss] += np.log10(distinct[miss] / (total + distinct)[miss])
         open_ = open_ & ~hit
 
-    # orders 4, 3, 2: count of (context, symbol) at each order, and sums over contexts
-    keys = [gram, gram & 0xFFFFFFFF, gram & 0xFFFFFF]
-    counts, contexts, totals, distincts, entries = [], [], [], [], []
-    for key in keys:
-        unique, inverse = np.unique(key, return_inverse=True)
-        c = np.bincount(inverse, n, len(unique))
-        context, at = np.unique(unique >> 8, return_inverse=True)
-        counts.append(c[inverse])
-        contexts.append(at[inverse])
-        totals.append(np.bincount(at, c, len(context)))
-        distincts.append(np.bincount(at, c > 0, len(context)))
-        entries.append((unique, c, at))
-    shorter = [lambda e: entries[1][1][np.searchsorted(entries[1][0], e & 0xFFFFFFFF)], lambda e: entries[2][1][np.searchsorted(entries[2][0], e & 0xFFFFFF)], lambda e: c1[e & 255]]
-    for k in range(3):
-        step(counts[k], totals[k][contexts[k]], distincts[k][contexts[k]])
-        unique, c, at = entries[k]
-        ruled = np.bincount(at, np.where(c > 0, shorter[k](unique), 0), len(totals[k]))
-        ruled_sum, ruled_n = ruled[contexts[k]], distincts[k][contexts[k]]
-    step(c1[symbol].astype(float), float(c1.sum()), float(np.count_nonzero(c1)))
-    ruled_sum, ruled_n = np.full(len(gram), float(c0[c1 > 0].sum())), np.full(len(gram), float(np.count_nonzero(c1)))
-    step(c0[symbol].astype(float), float(c0.sum()), float(np.count_nonzero(c0)))
-    p[open_] -= np.log10(max(1, 256 - np.count_nonzero(c0)))
+    def by_context(key: np.ndarray, count: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct key: its context's total and distinct symbols, and the shorter context's counts of these."""
+        _, at = np.unique(key >> 8, return_inverse=True)
+        return at, np.bincount(at, count), np.bincount(at, count > 0), np.bincount(at, np.where(count > 0, shorter, 0))
+
+    # order 3: the 5-grams summed over the first byte
+    key3, first, at3 = np.unique(gram & 0xFFFFFFFF, return_index=True, return_inverse=True)
+    n3 = np.bincount(at3, n, len(key3))
+    at, total, distinct, ruled = by_context(gram, n, n3[at3])
+    step(n, total[at], distinct[at])
+    gone_sum, gone = ruled[at], distinct[at]
+    at, total, distinct, ruled = by_context(key3, n3, n2[first])
+    at = at[at3]
+    step(n3[at3], total[at] - gone_sum, distinct[at] - gone)
+    gone_sum, gone = ruled[at], distinct[at]
+    last2, last, symbol = gram >> 8 & 0xFFFF, gram >> 8 & 255, gram & 255
+    step(n2, low.total2[last2] - gone_sum, low.distinct2[last2] - gone)
+    step(low.order1[last, symbol], low.total1[last] - low.ruled1[last2], low.distinct1[last] - low.distinct2[last2])
+    step(low.order0[symbol], low.order0.sum() - low.ruled0[last], np.count_nonzero(low.order0) - low.distinct1[last])
+    p[open_] -= np.log10(low.unseen)
     return p
 
 
+def _lower_orders(grams: DataFrame, trains: list[str]) -> tuple[DataFrame, list[LowerOrders]]:
+    """key (two bytes and a symbol) with its counts, staged; and tables of 65,536 rows at most, for each class."""
+    classes = len(trains)
+    order2 = stage(grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(*[F.sum(t).alias(t) for t in trains]), "ppm-order2")
+    order1 = np.zeros((classes, 1 << 16), np.int64)
+    t = order2.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(*[F.sum(t).alias(t) for t in trains]).toArrow()
+    for k, c in enumerate(trains):
+        order1[k, t["k"].to_numpy()] = t[c].to_numpy()
+
+    def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("key").to_numpy()
+            r = [np.where(b.column(c).to_numpy() > 0, order1[k, key & 0xFFFF], 0) for k, c in enumerate(trains)]
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 8), *(b.column(c) for c in trains), *map(pa.array, r)], names=["context", *trains, *rs])
+
+    rs = [f"r{k}" for k in range(classes)]
+    sums = [x for c, r in zip(trains, rs) for x in (F.sum(c).alias(c), F.sum((F.col(c) > 0).cast("long")).alias(f"d_{c}"), F.sum(r).alias(r))]
+    t = order2.mapInArrow(ruled, ", ".join(f"{c} long" for c in ["context", *trains, *rs])).groupBy("context").agg(*sums).toArrow()
+    low = []
+    for k, (c, r) in enumerate(zip(trains, rs)):
+        tables = np.zeros((3, 1 << 16), np.int64)
+        tables[:, t["context"].to_numpy()] = [t[x].to_numpy() for x in (c, f"d_{c}", r)]
+        low.append(LowerOrders(order1[k].reshape(256, 256), *tables))
+    return order2, low
+
+
+def _probabilities(grams: DataFrame, trains: list[str], ps: list[str]) -> DataFrame:
+    """gram and its log10 probability under each class.
+
+    5-grams reach a task sorted by the three bytes before the symbol, of which
+    65,536 5-grams at most can share one, and are cut where these change.
+    """
+    order2, low = _lower_orders(grams, trains)
+    n2s = [f"n2_{k}" for k in range(len(trains))]
+    with2 = grams.withColumn("key", F.col("gram").bitwiseAND(F.lit(0xFFFFFF))).join(order2.select("key", *[F.col(t).alias(n) for t, n in zip(trains, n2s)]), "key").drop("key")
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    dealt = with2.withColumn("context", context).repartition("context").sortWithinPartitions("context")
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram = t["gram"].to_numpy()
+        p = [pa.array(gram_probabilities(gram, t[c].to_numpy(), t[n].to_numpy(), low[k])) for k, (c, n) in enumerate(zip(trains, n2s))]
+        yield pa.RecordBatch.from_arrays([pa.array(gram), *p], names=["gram", *ps])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= CHUNK:
+                t = pa.Table.from_batches(held)
+                last = int(np.searchsorted(t["context"].to_numpy(), t["context"][-1].as_py()))
+                if last:
+                    yield from work(t.slice(0, last))
+                held = t.slice(last).to_batches()
+                n -= last
+        if n:
+            yield from work(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(cut, ", ".join(["gram long", *(f"{p} double" for p in ps)]))
+
+
 def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_BYTES, languages: int = LANGUAGES, running: bool = False) -> DataFrame:
     """docs(doc_id, text, lang) scored by a PPM model and by add-one unigrams, both trained on rows where held is not true.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens (longs),
     base_score and score (log10 probabilities). Tokens are words and one end a
     document. Every count is over all training documents: words and 5-grams are
-    counted per block, and these counts are summed by shuffles. A hot word
-    comes once from each block. A task holds one block with its words and
-    5-grams, or the 5-grams of one two-byte context, of which there can be
-    2^24 at most. The only tables that go to the driver have 65,536 counts for
-    each class. lang is read of training documents only. running: contexts run
+    counted per block, and these counts are summed by shuffles, a word that many
+    blocks have as a stream of one row a block. A task holds one block with its words and
+    5-grams, or some 5-grams, whole contexts of three bytes at a time. The only
+    tables that go to the driver have 65,536 rows and a few counts for each
+    class. lang is read of training documents only. running: contexts run
     over spaces into the words before, and 5-grams are those of the whole text.
 
     Null text: empty, one token. Null doc_id: kept. Null lang, or no such
@@ -276,33 +378,24 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
     for k, r in enumerate(top):
         number = F.when(F.col("lang") == r["lang"], k).otherwise(number)
     blocks = _blocks(rows.select("doc_id", "text", "held", F.coalesce(number, F.lit(classes - 1)).alias("class")), classes, block_bytes, running)
-    # words: one window over the counts that blocks hold
-    per = blocks.select("block", F.posexplode(F.arrays_zip("words", "word_train")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.word_train").alias("n"))
-    same = Window.partitionBy("word")
-    counted = per.select("block", "pos", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")).filter("c > 0")
-    counted = stage(counted, "ppm-words")
-    class_docs = [x or 0 for x in blocks.agg(*[F.sum(F.col("class_docs")[k]) for k in range(classes)]).first()]
+    # words: what a block counts of a word that no other block has is all there is, so only shared words are sent back
+    dealt = blocks.select("block", F.posexplode(F.arrays_zip("words", "word_train")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.word_train").alias("n")).repartition("word")
+    sums = dealt.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks"), F.min(F.struct("block", "pos")).alias("first")).filter("blocks > 1")
+    shared = dealt.join(sums.hint("shuffle_hash"), "word").select("block", "pos", "n", "c", (F.col("first") == F.struct("block", "pos")).alias("first"))
+    shared = stage(shared, "ppm-words")
+    own, n, *class_docs = blocks.agg(F.sum("n_learned"), F.sum("n_trained"), *[F.sum(F.col("class_docs")[k]) for k in range(classes)]).first()
+    class_docs = [x or 0 for x in class_docs]
     train_docs = sum(class_docs)
-    v, n = counted.filter("first").agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    v, n = v + (train_docs > 0), n + train_docs
-    # 5-grams: summed, scored by two-byte context, sent back to the blocks that have them
-    trains = [f"train_{k}" for k in range(classes)]
+    again, distinct = shared.agg(F.sum((F.col("n") > 0).cast("long")), F.sum((F.col("first") & (F.col("c") > 0)).cast("long"))).first()
+    v = (own or 0) - (again or 0) + (distinct or 0) + (train_docs > 0)
+    n = (n or 0) + train_docs
+    # 5-grams: summed, scored, sent back to the blocks that have them
+    trains, ps = [f"train_{k}" for k in range(classes)], [f"p{k}" for k in range(classes)]
     held_by = blocks.select("block", F.explode(F.arrays_zip("grams", *trains)).alias("g")).select("block", F.col("g.grams").alias("gram"), *[F.col(f"g.{t}").alias(t) for t in trains])
     grams = stage(held_by.groupBy("gram").agg(*[F.sum(t).alias(t) for t in trains]), "ppm-grams")
-    order1 = np.zeros((classes, 256, 256), np.int64)
-    for r in grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(*[F.sum(t).alias(t) for t in trains]).collect():
-        order1[:, r["k"] >> 8, r["k"] & 255] = r[1:]
-
-    def probabilities(t: pa.Table) -> pa.Table:
-        gram = t["gram"].to_numpy()
-        p = [pa.array(gram_probabilities(gram, t[c].to_numpy(), order1[k])) for k, c in enumerate(trains)]
-        return pa.Table.from_arrays([pa.array(gram, pa.int64()), *p], names=["gram", *ps])
-
-    ps = [f"p{k}" for k in range(classes)]
-    anchor = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    scored = stage(grams.groupBy(anchor.alias("anchor")).applyInArrow(probabilities, ", ".join(["gram long", *(f"{p} double" for p in ps)])), "ppm-scores")
+    scored = stage(_probabilities(grams, trains, ps), "ppm-scores")
     asked = blocks.select("block", F.explode("grams").alias("gram"))
-    answers = counted.select("block", F.col("pos").cast("long").alias("key"), "c", *[F.lit(None).cast("double").alias(p) for p in ps])
+    answers = shared.filter("c <> n").select("block", F.col("pos").cast("long").alias("key"), "c", *[F.lit(None).cast("double").alias(p) for p in ps])
     answers = answers.union(asked.join(scored, "gram").select("block", "gram", F.lit(None).cast("long"), *ps))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])))
@@ -314,7 +407,7 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
         is_word = reply["c"].is_valid().to_numpy()
         words_of, grams_of = reply.filter(pa.array(is_word)), reply.filter(pa.array(~is_word))
         for row in block.to_pylist():
-            c = np.zeros(len(row["words"]))
+            c = np.array(row["word_train"], float)
             c[words_of["key"].to_numpy()] = words_of["c"].to_numpy()
             gram = grams_of["key"].to_numpy()
             order = np.argsort(gram)
@@ -324,7 +417,7 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
             each = np.split(tokens, np.cumsum(row["lengths"])[:-1])
             by_doc = np.zeros((len(each), classes))
             if running:
-                for i, j, code, owner in _running_grams(each, [w + b" " for w in row["words"]]):
+                for i, j, code, owner in _running_grams(each, row["words"]):
                     at = np.searchsorted(gram, code)
                     for k in range(classes):
                         by_doc[i:j, k] = np.bincount(owner, p[k][at], j - i)
@@ -345,7 +438,7 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
                 out.append((d, h, m + 1, int(np.count_nonzero(c[t])) + (train_docs > 0), n, float(unigram[t].sum() + np.log10((train_docs + 1) / base)), float(mixed)))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(len(names))], schema=schema)
 
-    body = blocks.select("block", "docs", "held", "lengths", "tokens", "words")
+    body = blocks.select("block", "docs", "held", "lengths", "tokens", "words", "word_train")
     return body.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
