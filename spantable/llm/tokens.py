@@ -18,6 +18,11 @@ REMEMBERED, PARTS = 1 << 18, 1 << 19
 # Bytes as byte-level BPE writes them: printable Latin-1 characters stand for themselves, the rest follows from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+# What a file must say for its texts to be encoded word by word: fixed values of the tokenizer file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PRE = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]}
 _EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # Fixed pattern of the tokenizer file, for words of the characters above.
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -51,8 +56,9 @@ class WordTokens:
     """Encodes texts as the tokenizers library does with add_special_tokens=False.
 
     The tokenizer drops white space and never joins what white space separates,
-    so a text's ids are those of its words in turn. `whole` says whether this
-    holds for the file; for any other file texts are encoded whole.
+    so a text's ids are those of its words in turn. `by_word` says whether the
+    file has the very normalizer, pre-tokenizer and word end for which this and
+    the parts of words below hold; for any other file texts are encoded whole.
     """
 
     def __init__(self, path: str, end: int | None = END) -> None:
@@ -64,8 +70,10 @@ class WordTokens:
         import json
 
         say = json.loads(self.tok.to_str())
-        pre = (say.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = say["model"].get("end_of_word_suffix") == "</w>" and pre[0].get("behavior") == "Removed" and bool(pre[0].get("invert"))
+        model = {k: say["model"].get(k) for k in ("type", "end_of_word_suffix", "continuing_subword_prefix", "dropout")}
+        expected = {"type": "BPE", "end_of_word_suffix": "</w>", "continuing_subword_prefix": None, "dropout": None}
+        blank = lambda x: x or None  # noqa: E731 - the library writes an absent prefix as null or as an empty string
+        self.by_word = say.get("normalizer") == _NORMALIZER and say.get("pre_tokenizer") == _PRE and {k: blank(v) for k, v in model.items()} == expected
         self.special = tuple(x["content"] for x in say.get("added_tokens", []))
         self.end = b"" if end is None else self.dtype.type(end).tobytes()
         self.model = self.tok.model

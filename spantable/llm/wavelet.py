@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +21,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spantable.cluster import ship, stage
+from spantable.cluster import scratch, shared_path, ship, stage
 from spantable.llm.text import take_over
 from spantable.llm.tokens import END, TOKENIZER, word_tokens
+from spantable.sources import storage
 
 MAGIC = b"WMX1"
 HEAD = struct.Struct("<4sHHQQ")
 #: A shard is closed before it exceeds this, unless one document alone does.
 SHARD_TOKENS = 1 << 22
 NULL_ID = -(1 << 63)
+#: Tasks that read shards back at most.
+MAX_TASKS = 10_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class WaveletMatrix:
-    """Sequence of ids below 2^planes with rank and select on succinct bit planes."""
+    """Sequence of ids below 2^planes with rank and select on succinct bit planes.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
+    Both use a directory of a plane, the ones before each block of 64 bytes,
+    which is made when the plane is first asked.
+    """
+
+    def __init__(self, n: int, planes: Sequence[np.ndarray], zeros: list[int]) -> None:
         self.n, self.planes, self.zeros = n, planes, zeros
         self._blocks: list[np.ndarray | None] = [None] * len(planes)
 
+    def _directory(self, plane: int) -> np.ndarray:
+        """Ones before each block of 64 bytes, and all ones."""
+        if self._blocks[plane] is None:
+            raw = self.planes[plane]
+            per = np.add.reduceat(_ONES[raw], np.arange(0, len(raw), 64), dtype=np.int64) if len(raw) else np.zeros(0, np.int64)
+            self._blocks[plane] = np.concatenate(([0], np.cumsum(per)))
+        return self._blocks[plane]
+
     @classmethod
     def build(cls, ids: np.ndarray, planes: int) -> WaveletMatrix:
         """One stable partition a plane, from the most significant bit."""
@@ -53,12 +69,9 @@ class WaveletMatrix:
 
     def _rank1(self, plane: int, i: np.ndarray) -> np.ndarray:
         """Ones before position i: counts up to each block of 64 bytes, then bytes, then bits."""
-        raw = self.planes[plane]
-        if self._blocks[plane] is None:
-            per = np.add.reduceat(_ONES[raw], np.arange(0, len(raw), 64), dtype=np.int64) if len(raw) else np.zeros(0, np.int64)
-            self._blocks[plane] = np.concatenate(([0], np.cumsum(per)))
+        raw, ones = self.planes[plane], self._directory(plane)
         byte, block = i >> 3, i >> 9
-        out = self._blocks[plane][block].copy()
+        out = ones[block].copy()
         width = int((byte - block * 64).max(initial=0))
         at = block[:, None] * 64 + np.arange(width)
         inside = at < byte[:, None]
@@ -100,20 +113,31 @@ class WaveletMatrix:
 
     def select(self, symbol: int, nth) -> np.ndarray:
         """Positions of the occurrences of symbol with these numbers, from 0; beyond the last: -1."""
-        nth = np.asarray(nth, np.int64)
+        nth = np.atleast_1d(np.asarray(nth, np.int64))
         lo, hi = self._range(symbol, 0, self.n)
         found = (nth >= 0) & (nth < hi - lo)
         i = np.where(found, lo + nth, 0)
         for p in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[p], count=self.n).astype(bool)
-            if symbol >> (len(self.planes) - 1 - p) & 1:
-                places = np.flatnonzero(ones)
-                i = places[np.clip(i - self.zeros[p], 0, max(0, len(places) - 1))] if len(places) else i
-            else:
-                places = np.flatnonzero(~ones)
-                i = places[np.clip(i, 0, max(0, len(places) - 1))] if len(places) else i
+            one = symbol >> (len(self.planes) - 1 - p) & 1
+            i = self._select(p, i - self.zeros[p] if one else i, bool(one))
         return np.where(found, i, -1)
 
+    def _select(self, plane: int, nth: np.ndarray, one: bool) -> np.ndarray:
+        """Places of the ones, or zeros, with these numbers: the block by the directory, the bit by counting within the block."""
+        raw, before = self.planes[plane], self._directory(plane)
+        if not one:
+            before = np.arange(len(before)) * 512 - before
+        out = np.zeros(len(nth), np.int64)
+        for at in range(0, len(nth), 4096):
+            some = np.clip(nth[at : at + 4096], 0, None)
+            block = np.clip(np.searchsorted(before, some, side="right") - 1, 0, max(0, len(before) - 2))
+            bytes_ = block[:, None] * 64 + np.arange(64)
+            held = np.where(bytes_ < len(raw), raw[np.minimum(bytes_, len(raw) - 1)], 0).astype(np.uint8) if len(raw) else np.zeros(bytes_.shape, np.uint8)
+            bits = np.unpackbits(held, axis=1)
+            upto = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.int16)
+            out[at : at + 4096] = block * 512 + np.argmax(upto > (some - before[block])[:, None], axis=1)
+        return out
+
     def positions(self, symbol: int) -> np.ndarray:
         """All positions of symbol, ascending."""
         return self.select(symbol, np.arange(self.count(symbol)))
@@ -121,8 +145,8 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """The whole sequence: each plane's partition undone, from the least significant bit."""
         out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for k, (raw, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            ones = np.unpackbits(raw, count=self.n).view(bool)
+        for k, z in enumerate(reversed(self.zeros)):
+            ones = np.unpackbits(self.planes[len(self.zeros) - 1 - k], count=self.n).view(bool)
             before = np.empty_like(out)
             before[~ones], before[ones] = out[:z], out[z:] | out.dtype.type(1 << k)
             out = before
@@ -144,36 +168,74 @@ def write_shard(doc_ids: list[int | None], docs: list[np.ndarray], planes: int)
     return b"".join(out)
 
 
+class _Planes(Sequence):
+    """Bit planes that are read and unpacked when first needed."""
+
+    def __init__(self, load: Callable[[int], bytes], n: int) -> None:
+        self.load, self.held = load, [None] * n
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        if self.held[k] is None:
+            self.held[k] = np.frombuffer(self.load(k), np.uint8)
+        return self.held[k]
+
+
 class Shard:
-    """An open shard file: document table and wavelet matrix. Planes are unpacked when first needed."""
+    """An open shard: document table and wavelet matrix. source: the bytes of a file, or something with read_at(n, at).
 
-    def __init__(self, data: bytes) -> None:
-        magic, planes, _, n, docs = HEAD.unpack_from(data)
-        if magic != MAGIC:
+    Opening reads the header and the tables; a plane is read and unpacked when
+    it is first needed.
+    """
+
+    def __init__(self, source) -> None:
+        read = (lambda n, at: source[at : at + n]) if isinstance(source, bytes) else source.read_at
+        head = bytes(read(HEAD.size, 0))
+        if len(head) < HEAD.size or head[:4] != MAGIC:
             raise ValueError("no shard file")
-        at, parts, unpack = HEAD.size, [], zstandard.ZstdDecompressor().decompress
+        _, planes, _, n, docs = HEAD.unpack(head)
+        at, places = HEAD.size, []
         for _ in range(planes + 3):
-            size = struct.unpack_from("<Q", data, at)[0]
-            parts.append(unpack(data[at + 8 : at + 8 + size], max_output_size=1 << 40) if size else b"")
+            size = struct.unpack("<Q", bytes(read(8, at)))[0]
+            places.append((size, at + 8))
             at += 8 + size
-        self.doc_ids = np.frombuffer(parts[1], "<i8")
-        self.lengths = np.frombuffer(parts[2], "<u8").astype(np.int64)
+
+        def part(k: int) -> bytes:
+            size, place = places[k]
+            return zstandard.ZstdDecompressor().decompress(bytes(read(size, place)), max_output_size=1 << 40) if size else b""
+
+        self.doc_ids = np.frombuffer(part(1), "<i8")
+        self.lengths = np.frombuffer(part(2), "<u8").astype(np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:docs]
-        self.tokens = WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3:]], np.frombuffer(parts[0], "<u8").astype(int).tolist())
+        self.tokens = WaveletMatrix(n, _Planes(lambda k: part(k + 3), planes), np.frombuffer(part(0), "<u8").astype(int).tolist())
+
 
+def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, shard_tokens: int = SHARD_TOKENS, folder: str | None = None) -> DataFrame:
+    """Write the shard files of docs(doc_id, text); returns part, shard, n_tokens, n_docs, n_bytes, path and file, one row a file.
 
-def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The shard files of docs(doc_id, text) as rows part, shard, n_tokens, n_docs, file, written to the shared folder and read back.
+    Tasks write the files part-shard.wmx into `folder`, which all executors
+    share; by default into a new one in the shared folder, which goes with the
+    application. A file is there whole or not at all, and a task that runs again
+    writes the same. Where tasks cannot write, a store that only Spark reaches,
+    `file` holds the bytes instead of `path`.
 
-    Documents lie in the order of doc_id, null first, ties by text, across
-    (part, shard). Ranges of doc_id are dealt to the tasks before anything is
-    encoded, so texts move once and ids never. A null text counts as empty. A
-    document is never split. An empty table gives no shards.
+    Documents lie in the order of doc_id, null first, ties by the first 64 bytes
+    of text and then by a hash of it, across (part, shard). Ranges of this order
+    are dealt to the tasks before anything is encoded, so that rows without an
+    id, with one id, and equal rows are dealt out too; texts move once and ids
+    never. A null text counts as empty. A document is never split. An empty
+    table gives no shards.
     """
-    ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    names = ["part", "shard", "n_tokens", "n_docs", "file"]
+    spark = docs.sparkSession
+    ship(spark)
+    folder = folder or shared_path(spark, "token-files")
+    to_files = storage.is_writable(folder)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64), F.xxhash64("text"), F.col("row")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    names = ["part", "shard", "n_tokens", "n_docs", "n_bytes", "path", "file"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("tokens")
@@ -182,8 +244,12 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, sh
         part, shard, ids, held, total = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            data = write_shard(ids, held, planes)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, shard, total, len(ids))] + [pa.array([data], pa.binary())], names=names)
+            data, path = write_shard(ids, held, planes), None
+            if to_files:
+                path = f"{folder}/{part:06d}-{shard:06d}.wmx"
+                storage.write_whole(path, data)
+            row = [pa.array([x], pa.int64()) for x in (part, shard, total, len(ids), len(data))]
+            return pa.RecordBatch.from_arrays([*row, pa.array([path], pa.string()), pa.array([None if path else data], pa.binary())], names=names)
 
         for b in batches:
             texts = b.column("text")
@@ -198,32 +264,37 @@ def write_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, sh
         if held:
             yield close()
 
-    return stage(rows.mapInArrow(encode, "part long, shard long, n_tokens long, n_docs long, file binary"), "token-shards")
+    return stage(rows.mapInArrow(encode, "part long, shard long, n_tokens long, n_docs long, n_bytes long, path string, file binary"), "token-shards")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """One row per document of the shard files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """One row per document of the shard files that write_tokens() lists: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     ship(shards.sparkSession)
     names = ["part", "shard", "doc_id", "offset", "n_tokens", "ids_crc32"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                s = Shard(b.column("file")[i].as_py())
-                ids = s.tokens.decode().astype("<u4")
+            for row in b.to_pylist():
+                with storage.open_file(row["path"]) if row["path"] else nullcontext(row["file"]) as f:
+                    s = Shard(f)
+                    ids = s.tokens.decode().astype("<u4")
                 crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(s.starts.tolist(), s.lengths.tolist())]
-                same = [np.full(len(crc), b.column(c)[i].as_py(), np.int64) for c in ("part", "shard")]
+                same = [np.full(len(crc), row[c], np.int64) for c in ("part", "shard")]
                 key = pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == NULL_ID)
                 yield pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1]), key, pa.array(s.starts), pa.array(s.lengths), pa.array(crc, pa.int64())], names=names)
 
-    docs = shards.select("part", "shard", "file").mapInArrow(decode, "part long, shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    # the list is small but each of its files is not: a task for about two of them, whatever the list's size
+    dealt = shards.select("part", "shard", "path", "file").repartition(max(1, min(MAX_TASKS, -(-shards.count() // 2))), "part", "shard")
+    docs = dealt.mapInArrow(decode, "part long, shard long, doc_id long, offset long, n_tokens long, ids_crc32 long")
     # ids before each shard: sums by part, then within each part
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    bases = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inner")).join(first, "part")
-    bases = stage(bases.select("part", "shard", (F.col("first") + F.col("inner")).alias("base")), "token-bases")
+    with scratch() as keep:
+        bases = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inner")).join(first, "part")
+        bases = stage(bases.select("part", "shard", (F.col("first") + F.col("inner")).alias("base")), "token-bases")
+        keep.append(bases)
     return docs.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,5 +1,6 @@
 """op3 to op9 against brute force, exact round trips and held-out accuracy."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -125,10 +126,22 @@ def test_wavelet_matrix():
             assert m.count(s) == len(where) and m.positions(s).tolist() == where.tolist()
             assert m.rank(s, n // 3) == int((where < n // 3).sum()) and m.count(s, 10, n // 2) == int(((where >= 10) & (where < n // 2)).sum())
         assert m.select(1, [n, -1]).tolist() == [-1, -1]
+        assert m.select(300, 0).tolist() == [-1]
     with pytest.raises(ValueError):
         wavelet.Shard(b"XXXX" + bytes(40))
 
 
+def test_planes_are_read_when_needed():
+    ids = np.arange(3000, dtype=np.uint16) % 500
+    data, read = wavelet.write_shard([1], [ids], 9), []
+    source = type("Source", (), {"read_at": lambda self, n, at: read.append(n) or data[at : at + n]})()
+    shard = wavelet.Shard(source)
+    opened = sum(read)
+    assert shard.tokens.planes.held == [None] * 9 and opened < len(data) // 2
+    assert shard.tokens.planes[0] is shard.tokens.planes[0] and sum(x is not None for x in shard.tokens.planes.held) == 1
+    assert shard.tokens.select(7, [0, 5]).tolist() == [7, 2507]
+
+
 @pytest.mark.parametrize("shard_tokens", [50, 1 << 22])
 def test_token_shards(spark, odd, shard_tokens):
     rows = sorted(odd.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
@@ -141,9 +154,41 @@ def test_token_shards(spark, odd, shard_tokens):
         want.append((r["doc_id"], at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == want
+    listed = shards.collect()
+    assert all(os.path.getsize(r["path"].removeprefix("file:")) == r["n_bytes"] and r["file"] is None for r in listed) and len({r["path"] for r in listed}) == len(listed)
     assert wavelet.read_tokens(wavelet.write_tokens(odd.filter("false"))).count() == 0
 
 
+def test_equal_rows_are_dealt_to_many_shards(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 300 + [(3, "more")] * 300, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with large partitions
+    shards = wavelet.write_tokens(docs)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["part"] for r in shards.collect()}) > 2
+    got = sorted(map(tuple, wavelet.read_tokens(shards).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 300 + [3] * 300 and len(set(r[2:] for r in got)) == 2 and [r[1] for r in got] == np.concatenate(([0], np.cumsum([r[2] for r in got])[:-1])).tolist()
+
+
+def test_other_tokenizer_files_are_encoded_whole(tmp_path):
+    """A file whose pattern or normalizer differs is not taken apart into words."""
+    import json
+
+    say = json.load(open(tokens.resolve("word_bpe_49k.json")))
+    for change in ("pattern", "normalizer"):
+        other = json.loads(json.dumps(say))
+        if change == "pattern":
+            other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[^x]+"
+        else:
+            other["normalizer"]["normalizers"].pop()
+        path = str(tmp_path / f"{change}.json")
+        json.dump(other, open(path, "w"))
+        enc = tokens.WordTokens(path)
+        assert not enc.by_word
+        for text in ("Two Words, It's 12", "xaxb  c", ""):
+            assert enc.encode(text).tolist() == [*enc.tok.encode(text, add_special_tokens=False).ids, 2]
+    assert tokens.WordTokens("word_bpe_49k.json").by_word
+
+
 def brute_pieces(word, first, inner):
     n, at = 0, 0
     while at < len(word):
