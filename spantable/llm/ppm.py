@@ -98,14 +98,38 @@ def _grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 5-grams of running texts, each with START before it, and which text each is of."""
-    owner = np.repeat(np.arange(len(texts)), [len(x) - 4 for x in texts])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.arange(len(owner)) + 4 * (owner + 1)
-    code = np.zeros(len(at), np.int64)
-    for k in range(4, -1, -1):
-        code = code << 8 | data[at - k]
-    return code, owner
+    """The 5-grams of running texts, each with START before it, and where those of each text begin."""
+    sizes = np.array([len(x) - 4 for x in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    code = data[:-4]
+    for k in range(1, 5):
+        code = code << 8 | data[k : len(data) - 4 + k]
+    keep = np.ones(len(code), bool)  # without those that run from one text into the next
+    ends = np.cumsum(sizes + 4)[:-1] - 4
+    keep[(ends[:, None] + np.arange(4)).ravel()] = False
+    return code[keep], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+
+
+class _Places:
+    """Where 5-grams stand in an array of distinct ones that has them all: a hash table in arrays, a quarter full."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.bits = max(4, (4 * len(grams)).bit_length())
+        h = self._hash(grams)
+        self.place = np.argsort(h, kind="stable")
+        self.grams = grams[self.place]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(h, minlength=1 << self.bits))))[:-1].astype(np.int32)
+
+    def _hash(self, grams: np.ndarray) -> np.ndarray:
+        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        at = self.first[self._hash(grams)]
+        miss = np.flatnonzero(self.grams[at] != grams)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.grams[at[miss]] != grams[miss]]
+        return self.place[at]
 
 
 def _running_text(ws: list[bytes]) -> bytes:
@@ -114,7 +138,7 @@ def _running_text(ws: list[bytes]) -> bytes:
 
 
 def _running_grams(tokens: list[np.ndarray], ws: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Some documents at a time, first and end: their 5-grams, and which of these documents each is of. ws: the words by number."""
+    """Some documents at a time, first and end: their 5-grams, and where those of each document begin. ws: the words by number."""
     first, size, texts = 0, 0, []
     for i, t in enumerate(tokens):
         texts.append(_running_text([ws[x] for x in t.tolist()]))
@@ -406,33 +430,33 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
         out = []
         is_word = reply["c"].is_valid().to_numpy()
         words_of, grams_of = reply.filter(pa.array(is_word)), reply.filter(pa.array(~is_word))
-        for row in block.to_pylist():
-            c = np.array(row["word_train"], float)
+        for i in range(block.num_rows):
+            row = {x: block[x][i] for x in block.column_names}
+            ws, lengths = row["words"].as_py(), row["lengths"].values.to_numpy()
+            c = row["word_train"].values.to_numpy().astype(float)
             c[words_of["key"].to_numpy()] = words_of["c"].to_numpy()
-            gram = grams_of["key"].to_numpy()
-            order = np.argsort(gram)
-            gram = gram[order]
-            p = [grams_of[x].to_numpy()[order] for x in ps]
-            tokens = np.frombuffer(zlib.decompress(row["tokens"]), "<i4")
-            each = np.split(tokens, np.cumsum(row["lengths"])[:-1])
+            places = _Places(grams_of["key"].to_numpy())
+            p = [grams_of[x].to_numpy() for x in ps]
+            tokens = np.frombuffer(zlib.decompress(row["tokens"].as_py()), "<i4")
+            each = np.split(tokens, np.cumsum(lengths)[:-1])
             by_doc = np.zeros((len(each), classes))
             if running:
-                for i, j, code, owner in _running_grams(each, row["words"]):
-                    at = np.searchsorted(gram, code)
+                for i, j, code, begins in _running_grams(each, ws):
+                    at = places.find(code)
                     for k in range(classes):
-                        by_doc[i:j, k] = np.bincount(owner, p[k][at], j - i)
+                        by_doc[i:j, k] = np.add.reduceat(p[k][at], begins)
             else:
                 by_word = np.zeros((len(c), classes))
                 for i in range(0, len(c), CHUNK):
-                    code, owner = _grams(row["words"][i : i + CHUNK])
-                    at = np.searchsorted(gram, code)
+                    code, owner = _grams(ws[i : i + CHUNK])
+                    at = places.find(code)
                     for k in range(classes):
                         by_word[i : i + CHUNK, k] = np.bincount(owner, p[k][at])
-                end = np.searchsorted(gram, END_GRAM)
+                end = places.find(np.array([END_GRAM]))[0]
                 for i, t in enumerate(each):
                     by_doc[i] = by_word[t].sum(0) + np.array([x[end] for x in p])
             unigram = np.log10((c + 1) / base)
-            for d, h, m, t, y in zip(row["docs"], row["held"], row["lengths"], each, by_doc):
+            for d, h, m, t, y in zip(row["docs"].as_py(), row["held"].as_py(), lengths.tolist(), each, by_doc):
                 x = y + prior
                 mixed = x.max() + np.log10((10 ** (x - x.max())).sum())
                 out.append((d, h, m + 1, int(np.count_nonzero(c[t])) + (train_docs > 0), n, float(unigram[t].sum() + np.log10((train_docs + 1) / base)), float(mixed)))
