@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from spantable.cluster import ship, stage
+from spantable.cluster import scratch, ship, stage
 from spantable.llm.text import take_over, words
 
 #: Documents of each language that the fit uses, about: they are drawn by a hash at this rate.
 DOCS_PER_LANGUAGE = 4000
+#: Languages that a model holds at most, those of most documents: its size is BUCKETS numbers for each.
+MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
 SWITCH = 6.0
 FOREIGN = 30.0
@@ -131,17 +133,23 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seed: int = 5) -> Model:
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, seed: int = 5, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from docs(text, lang, doc_id) with lang not null.
 
     Of a language with more than docs_per_language documents a hash of the id
     draws about that many; this bounds the fit. Counts of hashed n-grams are
     summed per partition and by a shuffle; the driver gets at most BUCKETS
-    counts a language. Null texts teach nothing.
+    counts a language, of the max_languages languages that most documents have
+    (ties by name). Null texts teach nothing.
     """
     ship(docs.sparkSession)
+    with scratch():
+        return _fit(docs, docs_per_language, seed, max_languages)
+
+
+def _fit(docs: DataFrame, docs_per_language: int, seed: int, max_languages: int) -> Model:
     known = docs.filter("lang is not null and text is not null")
-    rates = stage(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("n")).alias("rate")), "langid-rates")
+    rates = stage(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang", F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("n")).alias("rate")), "langid-rates")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)).cast("double") / float(1 << 30)
     some = known.select("doc_id", "lang", "text").join(rates, "lang").filter(draw < F.col("rate")).select("lang", "text")
 

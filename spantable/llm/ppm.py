@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spantable.cluster import ship, stage
+from spantable.cluster import free, ship, stage
 from spantable.llm.text import take_over, words
 
 ORDER = 4
@@ -339,8 +339,8 @@ def _lower_orders(grams: DataFrame, trains: list[str]) -> tuple[DataFrame, list[
     return order2, low
 
 
-def _probabilities(grams: DataFrame, trains: list[str], ps: list[str]) -> DataFrame:
-    """gram and its log10 probability under each class.
+def _probabilities(grams: DataFrame, trains: list[str], ps: list[str]) -> tuple[DataFrame, DataFrame]:
+    """gram and its log10 probability under each class; and the staged table that this reads besides grams.
 
     5-grams reach a task sorted by the three bytes before the symbol, of which
     65,536 5-grams at most can share one, and are cut where these change.
@@ -371,7 +371,7 @@ def _probabilities(grams: DataFrame, trains: list[str], ps: list[str]) -> DataFr
         if n:
             yield from work(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(cut, ", ".join(["gram long", *(f"{p} double" for p in ps)]))
+    return dealt.mapInArrow(cut, ", ".join(["gram long", *(f"{p} double" for p in ps)])), order2
 
 
 def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_BYTES, languages: int = LANGUAGES, running: bool = False) -> DataFrame:
@@ -417,7 +417,9 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
     trains, ps = [f"train_{k}" for k in range(classes)], [f"p{k}" for k in range(classes)]
     held_by = blocks.select("block", F.explode(F.arrays_zip("grams", *trains)).alias("g")).select("block", F.col("g.grams").alias("gram"), *[F.col(f"g.{t}").alias(t) for t in trains])
     grams = stage(held_by.groupBy("gram").agg(*[F.sum(t).alias(t) for t in trains]), "ppm-grams")
-    scored = stage(_probabilities(grams, trains, ps), "ppm-scores")
+    probabilities, order2 = _probabilities(grams, trains, ps)
+    scored = stage(probabilities, "ppm-scores")
+    free(grams, order2)
     asked = blocks.select("block", F.explode("grams").alias("gram"))
     answers = shared.filter("c <> n").select("block", F.col("pos").cast("long").alias("key"), "c", *[F.lit(None).cast("double").alias(p) for p in ps])
     answers = answers.union(asked.join(scored, "gram").select("block", "gram", F.lit(None).cast("long"), *ps))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from spantable.cluster import ship, stage
+from spantable.cluster import scratch, ship, stage
 from spantable.llm.text import take_over
 
 #: Labelled rows that the fit uses at most: those of the least hashes.
@@ -118,15 +118,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, features
     them. Means and normal equations are sums that each partition makes; what
     goes to the driver is bounded by SUM_PARTITIONS and the number of features,
     and by max_train scores for the calibration. Rows with null ids or labels
-    are not used; of repeated labels of an id the least counts. Without any
-    labelled row the score is 0.5 everywhere.
+    are not used; of repeated labels of an id the least counts, and of repeated
+    documents of an id the one with the least statistics. Without any labelled
+    row the score is 0.5 everywhere.
     """
+    with scratch():
+        return _fit(docs, labels, max_train, features, ridge, seed)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_train: int, features: int, ridge: float, seed: int) -> Model:
     some = labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     some = some.orderBy("h", "doc_id").limit(max_train).groupBy("doc_id").agg(F.min("quality").alias("y"), F.min("h").alias("h"))
     some = stage(some, "quality-labels")
     # max_train rows at most: a bounded table
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    x = stage(_with_statistics(rows, ["y", "h"]).withColumn("calibrates", F.pmod(F.shiftright("h", 8), F.lit(4)) == 0), "quality-statistics")
+    once = _with_statistics(rows, ["doc_id", "y", "h"]).groupBy("doc_id").agg(F.min(F.struct("x", "y", "h")).alias("r")).select("r.*")
+    x = stage(once.withColumn("calibrates", F.pmod(F.shiftright("h", 8), F.lit(4)) == 0), "quality-statistics")
     m = N_STATISTICS
     sums = x.select(F.count(F.lit(1)), *[F.avg(F.col("x")[i]) for i in range(m)], *[F.stddev_pop(F.col("x")[i]) for i in range(m)]).first()
     rng = np.random.default_rng(seed)
