@@ -20,7 +20,7 @@ SHARD_TOKENS, SHARD_DOCS = 1 << 21, 4096
 #: Windows that each chain fills at about.
 CHAIN_WINDOWS = 6
 #: Seeds that are searched for at once, documents scored at once, and terms scored by matrix products, those that most documents hold.
-SEEDS, TOGETHER, DENSE = 12288, 256, 1024
+SEEDS, TOGETHER, DENSE = 6144, 256, 1024
 #: Neighbours that a seed asks for, and at most when many seeds ask for the same.
 NEIGHBOURS, MOST_NEIGHBOURS = 32, 256
 K1, B = 1.2, 0.75
@@ -53,6 +53,13 @@ class Bm25Shard:
         return np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), self.n)
 
 
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, which has one at least, and how often each occurs."""
+    ids = np.sort(ids, kind="stable")  # 16 bits: radix sort
+    begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[begins], np.diff(begins, append=len(ids))
+
+
 class Seeds:
     """Whole documents as queries: for each the best of all documents that are shown to it, a block at a time."""
 
@@ -74,7 +81,7 @@ class Seeds:
         self.salt = (names * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
 
     def show(self, keys: np.ndarray, docs: list[np.ndarray]) -> None:
-        parts = [np.unique(d, return_counts=True) for d in docs]
+        parts = [_terms(d) for d in docs]
         owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in parts])
         term, tf = np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([n for _, n in parts])
         length = np.array([len(d) for d in docs], np.int64)
@@ -83,12 +90,13 @@ class Seeds:
         x = np.zeros((len(docs), len(self.wants)), np.float32)
         x[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
         score = x @ self.wants
+        # the other terms: every pair of a posting of these documents and a seed that wants its term
         term, owner, weight = term[at < 0], owner[at < 0], weight[at < 0]
-        by_term = np.argsort(term, kind="stable")
-        term, owner, weight = term[by_term], owner[by_term], weight[by_term]
-        for t in np.intersect1d(term, self.rare):
-            mine, theirs = slice(*np.searchsorted(term, [t, t + 1])), slice(*np.searchsorted(self.rare, [t, t + 1]))
-            score[np.ix_(owner[mine], self.rare_owner[theirs])] += weight[mine, None]
+        lo, hi = np.searchsorted(self.rare, term), np.searchsorted(self.rare, term, side="right")
+        pairs = hi - lo
+        seed = self.rare_owner[np.repeat(lo - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())]
+        place = np.repeat(owner * score.shape[1], pairs) + seed
+        score += np.bincount(place, np.repeat(weight, pairs), score.size).astype(np.float32).reshape(score.shape)
         # scores that are equal in single precision come in an order of each seed's own, so that seeds do not all ask for the same copies
         spread = (keys * 0x85EBCA77 & 0xFFFFFFFF).astype(np.uint32)[:, None] * self.salt[None]
         spread ^= spread >> np.uint32(15)
