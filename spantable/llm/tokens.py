@@ -26,6 +26,8 @@ _PRE = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL]}
 _EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # Fixed pattern of the tokenizer file, for words of the characters above.
 _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+# Printable ASCII that is neither letter nor digit: one such mark after letters is a part of its own.
+_MARKS = frozenset(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 def resolve(path: str) -> str:
@@ -91,6 +93,8 @@ class WordTokens:
         """A word's ids: by its parts, where these are easy to tell, else as the library has it."""
         if word.isalpha():  # ASCII letters only
             return self.parts[word.lower().decode()]
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return self.parts[word[:-1].lower().decode()] + self.parts[chr(word[-1])]
         text = word.decode("utf-8", "surrogatepass")
         if not _EASY.fullmatch(text) or "<" in text and any(s in text for s in self.special):
             return self._library(text.encode("utf-8", "replace").decode())

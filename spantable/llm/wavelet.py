@@ -60,11 +60,11 @@ class WaveletMatrix:
         """One stable partition a plane, from the most significant bit."""
         packed, zeros = [], []
         for k in range(planes - 1, -1, -1):
-            ones = ((ids >> k) & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << k)) != 0
             packed.append(np.packbits(ones))
-            low = ids[~ones]
+            low, high = ids[~ones], ids[ones]
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[ones]))
+            ids = np.concatenate((low, high))
         return cls(len(ids), packed, zeros)
 
     def _rank1(self, plane: int, i: np.ndarray) -> np.ndarray:
