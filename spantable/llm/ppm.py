@@ -465,7 +465,10 @@ def score(docs: DataFrame, held: Column | None = None, block_bytes: int = BLOCK_
         return pa.Table.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(len(names))], schema=schema)
 
     body = blocks.select("block", "docs", "held", "lengths", "tokens", "words", "word_train")
-    return body.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = body.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = stage(found, "ppm-found")
+    free(blocks, shared, scored)
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:
