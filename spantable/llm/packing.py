@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spantable.cluster import ship, stage
+from spantable.cluster import BATCH_BYTES, batches_of, scratch, ship, stage
 from spantable.llm.text import take_over
 from spantable.llm.tokens import END, TOKENIZER, word_tokens
 
@@ -21,6 +22,8 @@ SHARD_TOKENS, SHARD_DOCS = 1 << 21, 4096
 CHAIN_WINDOWS = 6
 #: Seeds that are searched for at once, documents scored at once, and terms scored by matrix products, those that most documents hold.
 SEEDS, TOGETHER, DENSE = 6144, 256, 1024
+#: Directions by which seeds and documents are sorted into blocks.
+KINDS = 8
 #: Neighbours that a seed asks for, and at most when many seeds ask for the same.
 NEIGHBOURS, MOST_NEIGHBOURS = 32, 256
 K1, B = 1.2, 0.75
@@ -60,60 +63,146 @@ def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[begins], np.diff(begins, append=len(ids))
 
 
+class Documents:
+    """Some documents as the search sees them: keys, and postings of their terms with BM25 weights."""
+
+    def __init__(self, keys: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
+        self.keys, self.lengths = keys, lengths
+        self.owner = np.repeat(np.arange(len(keys)), [len(t) for t in terms])
+        self.term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(tfs)
+        self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.owner] / max(mean_length, 1.0)))).astype(np.float32)
+
+    def dense(self, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the terms that have a column, documents by columns; and the places of the postings of all others."""
+        at = column[self.term]
+        x = np.zeros((len(self.keys), width), np.float32)
+        some = at >= 0
+        x[self.owner[some], at[some]] = self.weight[some]
+        return x, np.flatnonzero(~some)
+
+
+def directions(rows: np.ndarray, n: int = KINDS, rounds: int = 5) -> np.ndarray:
+    """n directions about which these rows gather, by spherical k-means from rows far apart; they only order the work."""
+    if not len(rows):
+        return np.zeros((1, rows.shape[1]), np.float32)
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    chosen = [0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(np.argmin((unit @ unit[chosen].T).max(1))))
+    centres = unit[chosen]
+    for _ in range(rounds):
+        kind = (unit @ centres.T).argmax(1)
+        sums = np.stack([unit[kind == k].sum(0) if (kind == k).any() else centres[k] for k in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return centres
+
+
 class Seeds:
-    """Whole documents as queries: for each the best of all documents that are shown to it, a block at a time."""
+    """Whole documents as queries: for each the best of all documents that are shown to it, a block at a time.
 
-    def __init__(self, names: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, most: int) -> None:
-        self.names, self.idf, self.mean, self.most = names, idf, mean_length, most
+    A seed is left out of a block when the greatest weights that its terms have
+    in the block do not add up to what the worst of its best documents scores.
+    """
+
+    def __init__(self, names: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, most: int, centres: np.ndarray | None = None) -> None:
+        self.idf, self.mean, self.most = idf, mean_length, most
         self.column = np.full(len(idf), -1)
         self.column[dense] = np.arange(len(dense))
+        wants = self._wants(terms, len(dense))
+        self.centres = directions(wants.T[:: max(1, len(terms) // 1024)]) if centres is None else centres
+        # seeds of a kind stand together, so that those a block concerns are mostly a slice
+        self.order = order = np.argsort((self.centres @ wants).argmax(0), kind="stable") if len(terms) else np.zeros(0, np.int64)
+        self.names, terms, self.wants = names[order], [terms[i] for i in order], np.ascontiguousarray(wants[:, order])
         owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        term = np.concatenate(terms).astype(np.int64)
-        at = self.column[term]
-        self.wants = np.zeros((len(dense), len(terms)), np.float32)
-        self.wants[at[at >= 0], owner[at >= 0]] = 1
-        rare, owner = term[at < 0], owner[at < 0]
-        by_term = np.argsort(rare, kind="stable")
-        self.rare, self.rare_owner = rare[by_term], owner[by_term]
+        term = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+        at = self.column[term] < 0
+        by_term = np.argsort(term[at], kind="stable")
+        self.rare, self.rare_owner = term[at][by_term], owner[at][by_term]
         self.bar = np.full(len(terms), -1, np.float32)
         empty = np.zeros(0, np.int64)
-        self.best = (empty, empty, empty, np.zeros(0, np.float32))  # seed, key, length, score
-        self.salt = (names * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
+        self._best = (empty, empty, empty, np.zeros(0, np.float32))  # seed, key, length, score
+        self._new: list[tuple] = []
+        self._waiting = 0
+        self.salt = (self.names * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
+
+    def _wants(self, terms: list[np.ndarray], width: int) -> np.ndarray:
+        owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        at = self.column[np.concatenate(terms).astype(np.int64)] if terms else np.zeros(0, np.int64)
+        wants = np.zeros((width, len(terms)), np.float32)
+        wants[at[at >= 0], owner[at >= 0]] = 1
+        return wants
+
+    @property
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the seed as given, key, length and score, best first for each seed."""
+        if self._new:
+            self._settle()
+        return self.order[self._best[0]], *self._best[1:]
+
+    def kinds(self, docs: Documents) -> np.ndarray:
+        """The direction that each document is nearest to."""
+        return (docs.dense(self.column, len(self.wants))[0] @ self.centres.T).argmax(1)
+
+    def _concerned(self, docs: Documents, x: np.ndarray, rest: np.ndarray) -> slice | np.ndarray:
+        """The seeds for which a document of this block may be among the best."""
+        most = np.zeros(len(self.idf), np.float32)
+        np.maximum.at(most, docs.term[rest], docs.weight[rest])
+        bound = x.max(0) @ self.wants + np.bincount(self.rare_owner, most[self.rare], len(self.names))
+        live = np.flatnonzero(bound * (1 + 1e-4) >= self.bar)  # far more than what single precision can lose
+        if not len(live):
+            return live
+        span = slice(int(live[0]), int(live[-1]) + 1)
+        return span if 4 * (span.stop - span.start) <= 5 * len(live) else live
 
     def show(self, keys: np.ndarray, docs: list[np.ndarray]) -> None:
+        """Show documents, each as its ids."""
         parts = [_terms(d) for d in docs]
-        owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in parts])
-        term, tf = np.concatenate([t for t, _ in parts]).astype(np.int64), np.concatenate([n for _, n in parts])
-        length = np.array([len(d) for d in docs], np.int64)
-        weight = (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / max(self.mean, 1.0)))).astype(np.float32)
-        at = self.column[term]
-        x = np.zeros((len(docs), len(self.wants)), np.float32)
-        x[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
-        score = x @ self.wants
+        self.show_all(Documents(keys, np.array([len(d) for d in docs], np.int64), [t for t, _ in parts], [n for _, n in parts], self.idf, self.mean))
+
+    def show_all(self, docs: Documents) -> None:
+        x, rest = docs.dense(self.column, len(self.wants))
+        which = self._concerned(docs, x, rest)
+        numbers = np.arange(len(self.names))[which]
+        if not len(numbers):
+            return
+        score = x @ self.wants[:, which]
         # the other terms: every pair of a posting of these documents and a seed that wants its term
-        term, owner, weight = term[at < 0], owner[at < 0], weight[at < 0]
+        term, owner, weight = docs.term[rest], docs.owner[rest], docs.weight[rest]
         lo, hi = np.searchsorted(self.rare, term), np.searchsorted(self.rare, term, side="right")
         pairs = hi - lo
-        seed = self.rare_owner[np.repeat(lo - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())]
-        place = np.repeat(owner * score.shape[1], pairs) + seed
-        score += np.bincount(place, np.repeat(weight, pairs), score.size).astype(np.float32).reshape(score.shape)
+        place = np.full(len(self.names), -1)
+        place[numbers] = np.arange(len(numbers))
+        seed = place[self.rare_owner[np.repeat(lo - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())]]
+        some = seed >= 0
+        np.add.at(score.reshape(-1), (np.repeat(owner * score.shape[1], pairs) + seed)[some], np.repeat(weight, pairs)[some])
+        n = len(docs.keys)
+        bar = self.bar[numbers]
+        if n > self.most:
+            # only the `most` best of these can be among the best
+            bar = np.maximum(bar, np.where(bar < 0, np.partition(score, n - self.most, axis=0)[n - self.most] * np.float32(1 - 2e-6), bar)) if (bar < 0).any() else bar
+        doc, at = np.nonzero(score * np.float32(1 + 2e-6) >= bar)
+        s, seed, key = score[doc, at], numbers[at], docs.keys[doc]
         # scores that are equal in single precision come in an order of each seed's own, so that seeds do not all ask for the same copies
-        spread = (keys * 0x85EBCA77 & 0xFFFFFFFF).astype(np.uint32)[:, None] * self.salt[None]
+        spread = (key * 0x85EBCA77 & 0xFFFFFFFF).astype(np.uint32) * self.salt[seed]
         spread ^= spread >> np.uint32(15)
-        score *= 1 + (spread >> np.uint32(24)) * np.float32(4e-9)
-        if not len(self.best[0]) and len(docs) > self.most:
-            self.bar = np.nextafter(np.partition(score, len(docs) - self.most, axis=0)[len(docs) - self.most], np.float32(-1))
-        doc, seed = np.nonzero(score > self.bar)
-        new = (seed, keys[doc], length[doc], score[doc, seed])
-        seed, key, n, s = (np.concatenate(x) for x in zip(self.best, new))
-        order = np.lexsort((key, -s, seed))
-        seed, key, n, s = seed[order], key[order], n[order], s[order]
-        first = np.searchsorted(seed, np.arange(len(self.names)))
-        keep = np.arange(len(seed)) - first[seed] < self.most
-        self.best = seed[keep], key[keep], n[keep], s[keep]
-        count = np.bincount(self.best[0], minlength=len(self.names))
+        s = (s * (1 + (spread >> np.uint32(24)) * 4e-9)).astype(np.float32)
+        keep = s > self.bar[seed]
+        self._new.append((seed[keep], key[keep], docs.lengths[doc[keep]], s[keep]))
+        self._waiting += int(np.count_nonzero(keep))
+        if (self.bar[numbers] < 0).any() or self._waiting > len(self.names) * self.most // 4:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Take what was found since the last time into the best of each seed, and raise the bars."""
+        seed, key, length, s = (np.concatenate(v) for v in zip(self._best, *self._new))
+        self._new, self._waiting = [], 0
+        # by seed, then the greatest score; scores are not negative, so their bits are in the order of their values
+        order = np.argsort(seed.astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - s.view(np.uint32)))
+        order = order[np.arange(len(order)) - np.searchsorted(seed[order], np.arange(len(self.names)))[seed[order]] < self.most]
+        self._best = seed[order], key[order], length[order], s[order]
+        count = np.bincount(self._best[0], minlength=len(self.names))
         full = np.flatnonzero(count == self.most)
-        self.bar[full] = self.best[3][np.cumsum(count)[full] - 1]
+        self.bar[full] = self._best[3][np.cumsum(count)[full] - 1]
 
 
 def _best_first(score: np.ndarray, n: int, first: int = 64) -> Iterator[int]:
@@ -209,11 +298,13 @@ def _encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             texts = b.column("text")
             for at in range(0, b.num_rows, 1024):
                 part = [enc.encode(x) for x in texts.slice(at, 1024).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(part))), b.column("doc_id").slice(at, 1024), pa.array([x.tobytes() for x in part], pa.binary()), pa.array([len(x) for x in part], pa.int64())], names=["key", "doc_id", "ids", "n"])
+                bags = [_terms(x) for x in part]
+                cols = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (part, (t for t, _ in bags), (n.astype("<u4") for _, n in bags))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(part))), b.column("doc_id").slice(at, 1024), pa.array([len(x) for x in part], pa.int64()), *cols], names=["key", "doc_id", "n", "ids", "terms", "tfs"])
                 key += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(encode, "key long, doc_id long, ids binary, n long"), "packing-ids")
+    return stage(rows.mapInArrow(encode, "key long, doc_id long, n long, ids binary, terms binary, tfs binary"), "packing-ids")
 
 
 def document_frequencies(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
@@ -222,13 +313,13 @@ def document_frequencies(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                df[np.unique(np.frombuffer(x.as_buffer(), dtype))] += 1
+            for x in b.column("terms"):
+                df[np.frombuffer(x.as_buffer(), dtype)] += 1
         t = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["term", "df"])
 
     out = np.zeros(size, np.int64)
-    for r in rows.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+    for r in rows.select("terms").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         out[r["term"]] = r["df"]
     return out
 
@@ -325,35 +416,47 @@ def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarra
     """chain, key, n and score: for each seed its best neighbours among the unused documents of each partition, which hold those of the corpus."""
     spark = rows.sparkSession
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("chain"), pa.array([np.unique(np.frombuffer(x.as_py(), dtype)).tobytes() for x in b.column("ids")], pa.binary())], names=["chain", "terms"])
-
     asked = F.broadcast(spark.createDataFrame(pa.table({"chain": chain, "key": seed})))
-    t = rows.select("key", "ids").join(asked, "key").select("chain", "ids").mapInArrow(terms, "chain long, terms binary").toArrow()
-    sent = spark.sparkContext.broadcast((t["chain"].to_numpy(), t["terms"].to_pylist(), used, model))
+    t = rows.select("key", "terms").join(asked, "key").select("chain", "terms").toArrow()
+    names, queries = t["chain"].to_numpy(), t["terms"].to_pylist()
+    centres = Seeds(names[: 1 << 11], [np.frombuffer(x, dtype) for x in queries[: 1 << 11]], *model, 1).centres
+    sent = spark.sparkContext.broadcast((names, queries, used, model, centres))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("packing")  # what encoding remembered would be held beside the seeds' lists
-        names, queries, used, (idf, mean, common) = sent.value
-        seeds = Seeds(names, [np.frombuffer(x, dtype) for x in queries], idf, mean, common, most)
-        keys, docs = [], []
+        names, queries, used, (idf, mean, common), centres = sent.value
+        seeds = Seeds(names, [np.frombuffer(x, dtype) for x in queries], idf, mean, common, most, centres)
+        held: list[tuple] = []
+        kinds: dict[int, list[tuple]] = defaultdict(list)
+
+        def block(some: list[tuple]) -> Documents:
+            k, t, f, n = zip(*some)
+            return Documents(np.array(k, np.int64), np.array(n, np.int64), list(t), list(f), idf, mean)
+
+        def deal() -> None:
+            """Documents of a kind wait for each other."""
+            for x, kind in zip(held, seeds.kinds(block(held)).tolist() if held else ()):
+                kinds[kind].append(x)
+                if len(kinds[kind]) == TOGETHER:
+                    seeds.show_all(block(kinds.pop(kind)))
+            held.clear()
+
         for b in batches:
-            for k, x in zip(b.column("key").to_pylist(), b.column("ids")):
+            for k, n, t, f in zip(*(b.column(c).to_pylist() for c in ("key", "n", "terms", "tfs"))):
                 if not used.has(k):
-                    keys.append(k)
-                    docs.append(np.frombuffer(x.as_py(), dtype))
-                    if len(docs) == TOGETHER:
-                        seeds.show(np.array(keys), docs)
-                        keys, docs = [], []
-        if docs:
-            seeds.show(np.array(keys), docs)
+                    held.append((k, np.frombuffer(t, dtype), np.frombuffer(f, "<u4"), n))
+                    if len(held) == TOGETHER:
+                        deal()
+        deal()
+        for rest in kinds.values():
+            seeds.show_all(block(rest))
         seed, key, n, score = seeds.best
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[seed], key, n, score)], names=["chain", "key", "n", "score"])
 
-    found = rows.select("key", "ids").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(search, "chain long, key long, n long, score float")
+    found = rows.select("key", "n", "terms", "tfs").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(search, "chain long, key long, n long, score float")
     top = Window.partitionBy("chain").orderBy(F.desc("score"), "key")
-    out = found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).drop("r").toArrow()
+    with batches_of(spark, BATCH_BYTES):
+        out = found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).drop("r").toArrow()
     sent.destroy()
     return out
 

@@ -235,7 +235,7 @@ def test_packing_search_finds_the_best_of_the_corpus(spark, encoded):
     import pandas as pd
 
     dtype = np.dtype("<u2")
-    rows = spark.createDataFrame(pd.DataFrame({"key": np.arange(len(encoded)), "ids": [x.astype(dtype).tobytes() for x in encoded]}), "key long, ids binary").repartition(4)
+    rows = spark.createDataFrame(pd.DataFrame({"key": np.arange(len(encoded)), "n": [len(x) for x in encoded], "terms": [np.unique(x).astype(dtype).tobytes() for x in encoded], "tfs": [np.unique(x, return_counts=True)[1].astype("<u4").tobytes() for x in encoded]}), "key long, n long, terms binary, tfs binary").repartition(4)
     df = np.zeros(49408, int)
     for x in encoded:
         df[np.unique(x)] += 1
