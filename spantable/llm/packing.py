@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spantable.cluster import BATCH_BYTES, batches_of, scratch, ship, stage
@@ -451,12 +451,26 @@ def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarra
         for rest in kinds.values():
             seeds.show_all(block(rest))
         seed, key, n, score = seeds.best
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[seed], key, n, score)], names=["chain", "key", "n", "score"])
-
-    found = rows.select("key", "n", "terms", "tfs").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(search, "chain long, key long, n long, score float")
-    top = Window.partitionBy("chain").orderBy(F.desc("score"), "key")
+        ends = np.flatnonzero(np.diff(seed, append=-1)) + 1
+        lists = list(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())) if len(seed) else []
+        cols = [pa.array([c[i:j].tobytes() for i, j in lists], pa.binary()) for c in (key.astype("<i8"), n.astype("<i8"), score.astype("<f4"))]
+        yield pa.RecordBatch.from_arrays([pa.array(names[seed[[i for i, _ in lists]]] if lists else np.zeros(0, np.int64)), *cols], names=["chain", "keys", "ns", "scores"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists of each chain as one, which are all in this task."""
+        t = pa.Table.from_batches(batches, schema=pa.schema([("chain", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("scores", pa.binary())]))
+        key, n, score = (np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("keys", "<i8"), ("ns", "<i8"), ("scores", "<f4")))
+        of = np.repeat(t["chain"].to_numpy(), [len(x) // 8 for x in t["keys"].to_pylist()])
+        order = np.lexsort((key, -score, of))
+        of = of[order]
+        keep = np.arange(len(of)) - np.searchsorted(of, of) < most
+        yield pa.RecordBatch.from_arrays([pa.array(of[keep]), *(pa.array(c[order][keep]) for c in (key, n, score))], names=["chain", "key", "n", "score"])
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    found = rows.select("key", "n", "terms", "tfs").coalesce(tasks).mapInArrow(search, "chain long, keys binary, ns binary, scores binary")
     with batches_of(spark, BATCH_BYTES):
-        out = found.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= most).drop("r").toArrow()
+        # lists of about 16 MB to a task
+        out = found.repartition(-(-len(chain) * tasks * most * 20 // (16 << 20)), "chain").mapInArrow(best, "chain long, key long, n long, score float").toArrow()
     sent.destroy()
     return out
 
