@@ -7,23 +7,40 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spantable.operators import joins, ranges, raster, stats, sweep, validate
+from spantable.cluster import stage
+from spantable.operators import joins, ranges, raster, stats, sweep
 from spantable.sources import autosql, native, text
 
 SIGNAL_NAMES, FEATURE_NAMES = (".bw", ".bigwig"), (".bb", ".bigbed")
 
 
 class Track:
-    """A binary track. Methods that return DataFrames are lazy; values() returns an array of the range asked for."""
+    """A binary track. Methods that return DataFrames are lazy; values() returns an array of the range asked for.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        if not path.lower().endswith(SIGNAL_NAMES + FEATURE_NAMES):
+    path: a path, a URL of a store or of http(s), read by ranges, or an open
+    binary file that can seek, which the driver reads.
+    """
+
+    def __init__(self, spark: SparkSession, path) -> None:
+        if isinstance(path, str) and not path.split("?")[0].lower().endswith(SIGNAL_NAMES + FEATURE_NAMES):
             raise ValueError(f"{path}: the name ends in none of {', '.join(SIGNAL_NAMES + FEATURE_NAMES)}")
         self.spark, self.path, self.file = spark, path, native.NativeFile(path)
         self.is_signal, self.is_features = self.file.kind == "signal", self.file.kind == "features"
+        self._kept: DataFrame | None = None
 
     def rows(self) -> DataFrame:
-        return native.read_native(self.spark, self.path)
+        return native.read_native(self.spark, self.path) if self._kept is None else self._kept
+
+    def cached(self) -> Track:
+        """This track with its rows kept by the executors once they are read; questions asked again then do not open the file."""
+        self._kept = self.rows().persist()
+        return self
+
+    def release(self) -> None:
+        """Give up what cached() keeps."""
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
 
     def sizes(self) -> DataFrame:
         return native.native_chroms(self.spark, self.path)
@@ -65,13 +82,14 @@ class Track:
         return arr
 
     def average_over_bed(self, bed: str | DataFrame, names: int | str | bool | None = None, stats_wanted: str | list[str] | None = None) -> DataFrame:
-        """name and the wanted statistics of each row of a BED file or DataFrame; names: a column number, True (the fourth) or False (chrom:start-end)."""
+        """name and the wanted statistics of each row of a BED file or DataFrame; names: a column number, True (the fourth), False (chrom:start-end) or "none" (the whole row)."""
         if not self.is_signal:
             raise ValueError("averages are of signal tracks")
         rows = text.read_bed(self.spark, bed) if isinstance(bed, str) else bed
-        column: int | str = 3 if names is True else "interval" if names in (None, False) else names
+        column = 3 if names is True else "interval" if names in (None, False) else None if names == "none" else names
         rows = rows.withColumns({"name": ranges.row_name(column), "id": F.monotonically_increasing_id()}).select("id", "chrom", "s", "e", "name")
-        out = stats.average_over_bed(validate_regions(rows), self.rows(), stats_wanted)
+        # rows meet their own statistics by id, which is given once
+        out = stats.average_over_bed(stage(validate_regions(rows), "regions"), self.rows(), stats_wanted)
         return out.drop("id", "chrom", "s", "e")
 
 
@@ -80,8 +98,9 @@ def validate_regions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("e", F.when(F.col("e") >= F.col("s"), F.col("e")).otherwise(F.raise_error(F.concat(F.lit("region ends before it starts: "), "chrom")).cast("long")))
 
 
-def open_track(spark: SparkSession, path: str | os.PathLike) -> Track:
-    return Track(spark, os.fspath(path))
+def open_track(spark: SparkSession, path) -> Track:
+    """A Track of a path, URL or open file-like object."""
+    return Track(spark, path if hasattr(path, "read") else os.fspath(path))
 
 
 def write_signal(spark: SparkSession, path: str, chroms: dict[str, int], rows, options: native.WriteOptions | None = None) -> None:
@@ -144,7 +163,11 @@ def average_to_text(spark: SparkSession, source: str, bed: str, target: str, nam
 
 def values_to_text(spark: SparkSession, source: str, bed: str, target: str, delimiter: str = "\t") -> None:
     """Name and the value of each base of each BED row."""
-    rows = ranges.names_or_intervals(text.read_bed(spark, bed), ["chrom", "s", "e", "rest"]).withColumn("id", F.monotonically_increasing_id())
+    # the first lines of the file decide whether the fourth column names its rows
+    first = [r["value"].rstrip().split("\t") for r in spark.read.text(bed).head(10)]
+    names = [x[3] if len(x) > 3 else None for x in first]
+    column: int | str = 3 if None not in names and len(set(names)) == len(names) else "interval"
+    rows = stage(text.read_bed(spark, bed).withColumns({"name": ranges.row_name(column), "id": F.monotonically_increasing_id()}), "regions")
     out = stats.values_text(rows, Track(spark, source).rows(), delimiter)
     out.select(F.concat_ws(delimiter, "name", "values")).write.mode("overwrite").text(target)
 
@@ -183,7 +206,3 @@ def info_text(track: Track, chroms: bool = False, zooms: bool = False) -> str:
         lines += [f"\t{n} {k} {x}" for n, k, x in track.file.chroms]
     lines += [f"basesCovered: {s['bases']:,}", f"mean: {s['mean']:.6f}", f"min: {s['min']:.6f}", f"max: {s['max']:.6f}", f"std: {s['std']:.6f}"]
     return "\n".join(lines)
-
-
-def violations(track: DataFrame, sizes: DataFrame) -> DataFrame:
-    return validate.violations(track, sizes)

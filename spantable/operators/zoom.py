@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spantable.cluster import ship
-from spantable.operators.sweep import coverage
+from spantable.operators.sweep import STRIDE, coverage
 
-FIELDS = "chrom string, s long, e long, items long, bases long, min double, max double, sum double, sum_squares double"
 RECORD_BYTES = 32
 
 
@@ -31,36 +30,67 @@ def zoom_grid(track: DataFrame, size: int) -> DataFrame:
     return out.select("chrom", (F.col("_k") * size).alias("s"), ((F.col("_k") + 1) * size).alias("e"), "items", "bases", "min", "max", "sum", "sum_squares")
 
 
-def zoom_anchored(track: DataFrame, size: int) -> DataFrame:
+def _running_max(df: DataFrame, value, name: str, stride: int) -> DataFrame:
+    """df(chrom, s, _b, ...) with the greatest value at s or before on its chromosome; null values count for nothing.
+
+    In two levels, within strides of the axis and along them.
+    """
+    inside, along = Window.partitionBy("chrom", "_b").orderBy("s"), Window.partitionBy("chrom").orderBy("_b")
+    df = df.withColumn("_v", value)
+    carried = df.groupBy("chrom", "_b").agg(F.max("_v").alias("_v")).select("chrom", "_b", F.max("_v").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    own = F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.join(carried, ["chrom", "_b"]).withColumn(name, F.greatest(own, "_carried")).drop("_v", "_carried")
+
+
+def _gap(df: DataFrame, stride: int) -> DataFrame:
+    """df(chrom, s, e, ...) with _b, the stride of s, and _gap, bases between a row and the one before it; null for the first."""
+    df = df.withColumn("_b", F.floor(F.col("s") / stride).cast("long"))
+    inside, along = Window.partitionBy("chrom", "_b").orderBy("s"), Window.partitionBy("chrom").orderBy("_b")
+    before = df.groupBy("chrom", "_b").agg(F.max("e").alias("_last")).select("chrom", "_b", F.lag("_last").over(along).alias("_last"))
+    return df.join(before, ["chrom", "_b"]).withColumn("_gap", F.col("s") - F.coalesce(F.lag("e").over(inside), "_last")).drop("_last")
+
+
+def zoom_anchored(track: DataFrame, size: int, stride: int = STRIDE) -> DataFrame:
     """Summaries of windows that begin where data begin: a record opens at the first base not yet summarised and ends `size` bases on, or with the data.
 
-    A gap of `size` bases or more closes any record, so what lies between such
-    gaps is independent; these islands are the groups.
+    Where records open depends on where those before them did, but only runs of
+    touching rows matter for that: within a run records follow one another at
+    steps of `size`. So rows are told their run by windows over strides of the
+    axis; the ends of runs alone, two numbers each, are walked in order, in
+    groups between gaps of `size` bases or more, which close any record; and
+    rows are cut into their records by arithmetic and summed. Rows must not
+    overlap.
     """
     ship(track.sparkSession)
-    rows = _signal(track).filter("s < e").select("chrom", "s", "e", "v")
-    w = Window.partitionBy("chrom").orderBy("s")
-    wide = (F.col("s") - F.lag("e").over(w) >= size).cast("int")
-    rows = rows.withColumn("_wide", F.coalesce(wide, F.lit(0))).withColumn("_island", F.sum("_wide").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _gap(_signal(track).filter("s < e").select("chrom", "s", "e", "v"), stride)
+    rows = _running_max(rows, F.when(F.coalesce(F.col("_gap"), F.lit(1)) > 0, F.col("s")), "run", stride).select("chrom", "s", "e", "v", "run")
+    runs = _gap(rows.groupBy("chrom", F.col("run").alias("s")).agg(F.max("e").alias("e")), stride)
+    runs = _running_max(runs, F.when(F.coalesce(F.col("_gap"), F.lit(size)) >= size, F.col("s")), "island", stride)
 
-    def records(t: pa.Table) -> pa.Table:
+    def walk(t: pa.Table) -> pa.Table:
+        """For each run: the record that is open where it begins, or its begin, and where in it the first record opens."""
         t = t.sort_by("s")
-        chrom = t["chrom"][0].as_py() if t.num_rows else ""
-        out: list[list] = []
-        for s, e, v in zip(*(t[c].to_pylist() for c in ("s", "e", "v"))):
-            while s < e:
-                if not out or s >= out[-1][0] + size:
-                    out.append([s, s, 0, 0, v, v, 0.0, 0.0])
-                r = out[-1]
-                stop = min(e, r[0] + size)
-                n = stop - s
-                r[1], r[2], r[3], r[4], r[5], r[6], r[7] = stop, r[2] + 1, r[3] + n, min(r[4], v), max(r[5], v), r[6] + n * v, r[7] + n * v * v
-                s = stop
-        cols = list(zip(*out)) or [[]] * 8
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 4
-        return pa.Table.from_arrays([pa.array([chrom] * len(out), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["chrom", "s", "e", "items", "bases", "min", "max", "sum", "sum_squares"])
-
-    return rows.groupBy("chrom", "_island").applyInArrow(records, FIELDS)
+        end, opens, before = None, [], []
+        for s, e in zip(t["s"].to_pylist(), t["e"].to_pylist()):
+            before.append(s if end is None or end <= s else end - size)
+            opens.append(s if end is None else max(s, end))
+            if opens[-1] < e:
+                end = opens[-1] + -(-(e - opens[-1]) // size) * size
+        return pa.Table.from_arrays([t["chrom"], t["s"], pa.array(before, pa.int64()), pa.array(opens, pa.int64())], names=["chrom", "run", "before", "opens"])
+
+    state = runs.select("chrom", "island", "s", "e").groupBy("chrom", "island").applyInArrow(walk, "chrom string, run long, before long, opens long")
+    met = rows.join(state, ["chrom", "run"])
+    # the piece that belongs to the record open before, then one piece for each record
+    first = F.greatest("s", "opens")
+    k = F.when(first < F.col("e"), F.sequence(F.floor((first - F.col("opens")) / size).cast("long"), F.floor((F.col("e") - 1 - F.col("opens")) / size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    head = F.when(F.col("s") < F.col("opens"), F.array("before")).otherwise(F.array().cast("array<bigint>"))
+    pieces = met.withColumn("record", F.explode(F.concat(head, F.transform(k, lambda x: F.col("opens") + x * size))))
+    end = F.least("e", F.col("record") + size)
+    o, v = end - F.greatest("s", "record"), F.col("v").cast("double")
+    out = pieces.groupBy("chrom", "record").agg(
+        F.max(end).alias("e"), F.count(F.lit(1)).alias("items"), F.sum(o).alias("bases"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(o * v).alias("sum"), F.sum(o * v * v).alias("sum_squares")
+    )
+    return out.select("chrom", F.col("record").alias("s"), "e", "items", "bases", "min", "max", "sum", "sum_squares")
 
 
 def zoom_records(zooms: dict[int, DataFrame], level: int, chrom: str, start: int, end: int) -> DataFrame:
@@ -107,6 +137,20 @@ def choose_levels(counts: dict[int, int], data_bytes: int, max_zooms: int = 10)
     return out[:max_zooms]
 
 
+def choose_single_pass(sections: dict[int, tuple[int, int]], data_bytes: int) -> list[int]:
+    """Of levels with these bytes and numbers of sections as written, in one pass with the data: those that help.
+
+    A level that takes more than half of the data's bytes, or does not have
+    fewer sections than the last one kept, is dropped.
+    """
+    out: list[int] = []
+    for level in sorted(sections):
+        size, n = sections[level]
+        if size <= data_bytes / 2 and (not out or n < sections[out[-1]][1]):
+            out.append(level)
+    return out
+
+
 def build_zooms(track: DataFrame, sizes: DataFrame, manual: list[int] | None = None, data_bytes: int | None = None, initial: int = 10, max_zooms: int = 10) -> dict[int, DataFrame]:
     """Zoom tables by level, chosen by exact record counts; data_bytes counts 12 bytes a row by default."""
     longest = sizes.agg(F.max("length")).first()[0] or 0

@@ -387,11 +387,27 @@ def _(spark, d):
     return z.groupBy("chrom").agg(F.sum("bases").alias("bases"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), F.sum("sum_squares").alias("sum_squares"))
 
 
-@query("zoom_anchored_records")
+def _anchored_sql(src: str, more: str = "") -> str:
+    """Records one after the other, by recursion: each opens at the first base with data that the one before does not reach."""
+    o = "(least(g.e, r.st + 100) - greatest(g.s, r.st))"
+    return f"""WITH RECURSIVE {tracks.SQL.strip()}{more},
+r AS (SELECT chrom, min(s) AS st FROM {src} WHERE s < e GROUP BY chrom
+ UNION ALL SELECT r.chrom, min(greatest(g.s, r.st + 100)) FROM r JOIN {src} g ON g.chrom = r.chrom AND g.e > r.st + 100 AND g.s < g.e GROUP BY r.chrom)
+SELECT r.chrom, r.st AS s, max(least(g.e, r.st + 100)) AS e, count(*) AS items, CAST(sum({o}) AS BIGINT) AS bases, CAST(min(g.v) AS DOUBLE) AS min, CAST(max(g.v) AS DOUBLE) AS max,
+ CAST(sum({o} * g.v) AS DOUBLE) AS sum, CAST(sum({o} * g.v * g.v) AS DOUBLE) AS sum_squares
+FROM r JOIN {src} g ON g.chrom = r.chrom AND g.e > r.st AND g.s < r.st + 100 AND g.s < g.e GROUP BY r.chrom, r.st"""
+
+
+@query("zoom_anchored_records", _anchored_sql("sig"))
 def _(spark, d):
     return zoom.zoom_anchored(signal(spark, d), 100)
 
 
+@query("zoom_feature_records", _anchored_sql("dep", f"{_COVERAGE}, dep AS (SELECT chrom, s, e, depth AS v FROM cov)"))
+def _(spark, d):
+    return zoom.zoom_anchored(features(spark, d), 100)
+
+
 @query(
     "zoom_level_counts",
     """, lv AS (SELECT unnest([10, 40, 160, 640]) AS level), x AS (SELECT DISTINCT lv.level, chrom, unnest(range(CAST(floor(s / level) AS BIGINT), CAST(floor((e - 1) / level) AS BIGINT) + 1)) AS k FROM sig CROSS JOIN lv)

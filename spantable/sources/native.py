@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from spantable.cluster import ship, stage
+from spantable.cluster import scratch, ship, stage
 from spantable.operators import validate
 from spantable.operators.stats import track_summary
-from spantable.operators.zoom import build_zooms, zoom_anchored
+from spantable.operators.sweep import coverage
+from spantable.operators.zoom import build_zooms, candidate_levels, choose_single_pass, zoom_anchored
 from spantable.sources import autosql
 from spantable.sources.storage import open_file
 
@@ -45,7 +47,8 @@ class NativeError(ValueError):
 class NativeFile:
     """Header, names and indexes of one file; every method opens the file anew, so it can be sent to tasks."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path) -> None:
+        """path: a path, a URL, or an open binary file that can seek; the last is only read on this side."""
         self.path = path
         with open_file(path) as f:
             raw = f.read_at(64, 0)
@@ -91,6 +94,7 @@ class NativeFile:
     def declaration(self) -> str:
         """The declared schema; of a signal the one that all signals have."""
         if self.kind == "signal":
+            # fixed value of the format: the declaration that every signal track has
             return 'table bedGraph\n"bedGraph file"\n(\n    string chrom;      "Reference sequence chromosome or scaffold"\n    uint   chromStart; "Start position in chromosome"\n    uint   chromEnd;   "End position in chromosome"\n    float  value;      "Value for a given interval"\n)\n'
         if not self.sql_at:
             return ""
@@ -249,9 +253,19 @@ class NativeTrack(DataSource):
         return _Reader(self.options["path"], int(self.options["zoom"]) if "zoom" in self.options else None, int(self.options.get("blocksperpartition", BLOCKS_PER_PARTITION)))
 
 
-def read_native(spark: SparkSession, path: str, zoom: int | None = None) -> DataFrame:
-    """A file's rows, or the records of one of its zoom levels (unknown level: KeyError)."""
+def read_native(spark: SparkSession, path, zoom: int | None = None) -> DataFrame:
+    """A file's rows, or the records of one of its zoom levels (unknown level: KeyError).
+
+    Of an open file-like object the driver reads the rows and hands them to Spark.
+    """
     ship(spark)
+    if not isinstance(path, str):
+        file = NativeFile(path)
+        if zoom is not None and zoom not in file.zooms:
+            raise KeyError(f"no zoom level {zoom}")
+        more = ZOOM_FIELDS if zoom is not None else [("v", T.DoubleType())] if file.kind == "signal" else [("rest", T.StringType())]
+        schema = T.StructType([T.StructField(*x) for x in [*PLACE, *more]])
+        return spark.createDataFrame(pa.Table.from_batches(file.read(file.blocks(zoom), zoom is not None), to_arrow_schema(schema)), schema)
     spark.dataSource.register(NativeTrack)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     file = NativeFile(path)
@@ -261,18 +275,38 @@ def read_native(spark: SparkSession, path: str, zoom: int | None = None) -> Data
     return (r if zoom is None else r.option("zoom", zoom)).load(path)
 
 
-def native_chroms(spark: SparkSession, path: str) -> DataFrame:
+def native_chroms(spark: SparkSession, path) -> DataFrame:
     """chrom and length of a file's chromosomes."""
     return spark.createDataFrame([(n, x) for n, _, x in NativeFile(path).chroms], "chrom string, length long")
 
 
 @dataclass
 class WriteOptions:
+    """How a file is written.
+
+    zooms: these levels and no choice. Else levels are initial_zoom * 4^k, at
+    most max_zooms. single_pass writes all of them with the data and drops those
+    that do not help by what they take; otherwise records are counted first,
+    from 10 bases on if initial_zoom is not given, and the chosen levels are
+    written. sorted_by: "any" sorts the rows; "all" (chromosomes in the order of
+    their names) and "start" (chromosomes in any order, each in one run) are
+    kept for callers that have such input, and give the same file.
+    """
+
     compress: bool = True
     items_per_slot: int = 1024
     block_size: int = 256
     max_zooms: int = 10
     zooms: list[int] | None = None
+    initial_zoom: int | None = None
+    single_pass: bool = False
+    sorted_by: str = "any"
+
+    def __post_init__(self) -> None:
+        if self.sorted_by not in ("any", "all", "start"):
+            raise ValueError("sorted_by is any, all or start")
+        if min(self.items_per_slot, self.block_size - 1) < 1:
+            raise ValueError("items_per_slot is 1 at least, block_size 2")
 
 
 def _sections(rows: DataFrame, level: int, numbers: dict[str, int], kind: str, o: WriteOptions) -> DataFrame:
@@ -378,7 +412,11 @@ def write_native(track: DataFrame, sizes: DataFrame, path: str, options: WriteOp
     and zooms are encoded by tasks and staged; the driver then holds their
     index, 48 bytes for 1024 rows, and streams them into the file.
     """
-    o = options or WriteOptions()
+    with scratch():
+        _write(track, sizes, path, options or WriteOptions(), declaration)
+
+
+def _write(track: DataFrame, sizes: DataFrame, path: str, o: WriteOptions, declaration: str | None) -> None:
     ship(track.sparkSession)
     kind = "signal" if "v" in track.columns else "features"
     if kind == "features" and "rest" not in track.columns:
@@ -388,14 +426,23 @@ def write_native(track: DataFrame, sizes: DataFrame, path: str, options: WriteOp
     used = sizes.join(track.select("chrom").distinct(), "chrom", "left_semi")
     chroms = sorted((r["chrom"], r["length"]) for r in used.select("chrom", "length").distinct().collect())
     numbers = {n: i for i, (n, _) in enumerate(chroms)}
-    levels = sorted(build_zooms(track, used, manual=o.zooms, max_zooms=o.max_zooms)) if o.zooms is None else sorted(set(o.zooms))
+    # every level is of the same depth, which is made once
+    depth = track if kind == "signal" else stage(coverage(track).select("chrom", "s", "e", F.col("depth").cast("double").alias("v")), "native-depth")
+    if o.zooms is not None or o.single_pass:
+        longest = used.agg(F.max("length")).first()[0]
+        levels = candidate_levels(longest, o.initial_zoom or 160, o.max_zooms, o.zooms)
+    else:
+        levels = sorted(build_zooms(depth, used, initial=o.initial_zoom or 10, max_zooms=o.max_zooms, data_bytes=12 * track.count()))
     parts = _sections(track, 0, numbers, kind, o)
     for z in levels:
-        parts = parts.union(_sections(zoom_anchored(track, z), z, numbers, "zoom", o))
+        parts = parts.union(_sections(zoom_anchored(depth, z), z, numbers, "zoom", o))
     sections = stage(parts, "native-sections")
     totals = {r["level"]: r for r in sections.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes"), F.max("size").alias("size"), F.sum("n").alias("rows")).collect()}
     levels = [z for z in levels if z in totals]
-    whole = track_summary(track).first()
+    if o.single_pass and o.zooms is None:
+        levels = choose_single_pass({z: (totals[z]["bytes"], totals[z]["n"]) for z in levels}, totals[0]["bytes"])
+        totals = {z: totals[z] for z in (0, *levels)}
+    whole = track_summary(depth).first()
     if kind == "features":
         declaration = declaration or autosql.for_rest(track.select("rest").first()[0])
     text = b"" if kind == "signal" else declaration.encode() + b"\0"

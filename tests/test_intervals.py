@@ -253,6 +253,36 @@ def test_zoom(spark):
         zoom.zoom_records({}, 10, "c", 0, 5)
 
 
+def brute_records(rows, size):
+    """Anchored records base by base."""
+    out, covered = [], {}
+    for n, (c, s, e, v) in enumerate(rows):
+        covered.setdefault(c, {}).update((x, (n, v)) for x in range(s, e))
+    for c, bases in covered.items():
+        start = None
+        for x in sorted(bases):
+            if start is None or x >= start + size:
+                start = x
+                out.append([c, x, x, set(), []])
+            out[-1][2] = x + 1
+            out[-1][3].add(bases[x][0])
+            out[-1][4].append(bases[x][1])
+    return sorted((c, s, e, len(items), len(v), min(v), max(v), sum(v), sum(x * x for x in v)) for c, s, e, items, v in out)
+
+
+@pytest.mark.parametrize(("size", "stride"), [(7, 16), (50, 64), (500, 64), (50, 1 << 16)])
+def test_anchored_records_against_bases(spark, size, stride):
+    """Dense runs, gaps of all sizes, records over many strides and rows longer than a record."""
+    rows = random_track(8, 200) + random_track(9, 100) + [("long", 5, 1234, 0.5), ("long", 1234, 1300, 0.25), ("long", 1310, 1311, 1.0), ("long", 5000, 5001, 2.0)]
+    got = zoom.zoom_anchored(text.from_rows(spark, rows), size, stride).collect()
+    assert sorted(map(tuple, got)) == brute_records(rows, size)
+    assert zoom.zoom_anchored(text.from_rows(spark, rows).filter("false"), size).count() == 0
+
+
+def test_levels_of_a_single_pass():
+    assert zoom.choose_single_pass({160: (900, 40), 640: (400, 20), 2560: (100, 20), 10240: (30, 5)}, 1000) == [640, 10240]
+
+
 def test_zoomed_bins_are_exact_on_their_grid(spark):
     t = text.from_rows(spark, random_track(8, 300))
     sizes = spark.createDataFrame([("c0", 4000)], "chrom string, length long")
