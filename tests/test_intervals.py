@@ -10,6 +10,7 @@ from spantable.operators import joins, ranges, raster, stats, sweep, validate, z
 from spantable.plans.overlap import overlap_join, suggest_width
 from spantable.sources import autosql, text
 
+# A track of twelve bases, eight of them covered, whose values per base and per bin below are worked out by hand.
 SIG = [("chr1", 1, 3, 1.0), ("chr1", 4, 8, 2.0), ("chr1", 8, 10, 3.0)]
 BED = [("chr1", 1, 3), ("chr1", 4, 6), ("chr1", 4, 10), ("chr1", 6, 10), ("chr1", 8, 10)]
 NAN = float("nan")
