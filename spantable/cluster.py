@@ -93,6 +93,11 @@ def free(*tables: DataFrame | str | None) -> None:
             fs.delete(p, True)
 
 
+def staged() -> list[str]:
+    """Paths of all staged tables that are still there."""
+    return list(_staged)
+
+
 @contextmanager
 def scratch() -> Iterator[list]:
     """Tables staged inside are freed at the end, but for those appended to the list that this yields."""
