@@ -24,8 +24,8 @@ CHAIN_WINDOWS = 6
 SEEDS, TOGETHER, DENSE = 6144, 256, 1024
 #: Directions by which seeds and documents are sorted into blocks.
 KINDS = 8
-#: Neighbours that a seed asks for, and at most when many seeds ask for the same.
-NEIGHBOURS, MOST_NEIGHBOURS = 32, 256
+#: Neighbours that all tasks together send back for a seed, about, and at most when many seeds ask for the same.
+NEIGHBOURS, MOST_NEIGHBOURS = 192, 768
 K1, B = 1.2, 0.75
 
 
@@ -380,6 +380,7 @@ def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, d
                 break
         if filled < len(chain) // 2:  # many ask for the same
             most = min(MOST_NEIGHBOURS, 2 * most)
+        spark.sparkContext._jvm.System.gc()  # the driver then lets go of the shuffles of this round
     out = placed[0]
     for p in placed[1:]:
         out = out.union(p)
@@ -413,9 +414,10 @@ def _draft(claims: pa.Table, chain: np.ndarray, room: np.ndarray) -> tuple[np.nd
 
 
 def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarray, model: tuple, dtype: str, most: int) -> pa.Table:
-    """chain, key, n and score: for each seed its best neighbours among the unused documents of each partition, which hold those of the corpus."""
+    """chain, key, n and score: for each seed its best neighbours among all unused documents of the corpus, about `most` of them, `most` over the tasks from each task."""
     spark = rows.sparkSession
-
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    most = max(2, -(-most // tasks))
     asked = F.broadcast(spark.createDataFrame(pa.table({"chain": chain, "key": seed})))
     t = rows.select("key", "terms").join(asked, "key").select("chain", "terms").toArrow()
     names, queries = t["chain"].to_numpy(), t["terms"].to_pylist()
@@ -457,16 +459,23 @@ def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(names[seed[[i for i, _ in lists]]] if lists else np.zeros(0, np.int64)), *cols], names=["chain", "keys", "ns", "scores"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lists of each chain as one, which are all in this task."""
+        """The lists of each chain as one, which are all in this task, as far as they are sure.
+
+        A task that sent as many as it may has others that are no better than its
+        last one: what is below the greatest such score is left out. What remains
+        are the best of all documents, in order.
+        """
         t = pa.Table.from_batches(batches, schema=pa.schema([("chain", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("scores", pa.binary())]))
         key, n, score = (np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("keys", "<i8"), ("ns", "<i8"), ("scores", "<f4")))
-        of = np.repeat(t["chain"].to_numpy(), [len(x) // 8 for x in t["keys"].to_pylist()])
-        order = np.lexsort((key, -score, of))
-        of = of[order]
-        keep = np.arange(len(of)) - np.searchsorted(of, of) < most
-        yield pa.RecordBatch.from_arrays([pa.array(of[keep]), *(pa.array(c[order][keep]) for c in (key, n, score))], names=["chain", "key", "n", "score"])
+        sizes = np.array([len(x) // 8 for x in t["keys"].to_pylist()], np.int64)
+        chain, which = np.unique(t["chain"].to_numpy(), return_inverse=True)
+        sure = np.full(len(chain), -1, np.float32)
+        np.maximum.at(sure, which[sizes == most], score[np.cumsum(sizes)[sizes == most] - 1])
+        at = np.repeat(which, sizes)
+        order = np.lexsort((key, -score, at))
+        order = order[score[order] >= sure[at[order]]]
+        yield pa.RecordBatch.from_arrays([pa.array(chain[at[order]]), *(pa.array(c[order]) for c in (key, n, score))], names=["chain", "key", "n", "score"])
 
-    tasks = 2 * spark.sparkContext.defaultParallelism
     found = rows.select("key", "n", "terms", "tfs").coalesce(tasks).mapInArrow(search, "chain long, keys binary, ns binary, scores binary")
     with batches_of(spark, BATCH_BYTES):
         # lists of about 16 MB to a task
