@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -390,7 +391,8 @@ def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, d
 def _draft(claims: pa.Table, chain: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seeds take turns, each the best document on its list that none has taken, until their rooms are full: chain, key, length and place of the chain, by chain and in the order taken."""
     claims = claims.sort_by([("chain", "ascending"), ("score", "descending"), ("key", "ascending")])
-    of, keys, sizes = claims["chain"].to_numpy(), claims["key"].to_numpy().tolist(), claims["n"].to_numpy().tolist()
+    # arrays of machine integers: lists of objects would take five times the driver's memory
+    of, keys, sizes = claims["chain"].to_numpy(), array("q", claims["key"].to_numpy().tobytes()), array("q", claims["n"].to_numpy().tobytes())
     next_, ends = np.searchsorted(of, chain).tolist(), np.searchsorted(of, chain, side="right").tolist()
     room, taken, mine = room.tolist(), set(), [[] for _ in chain]
     turn = list(range(len(chain)))
