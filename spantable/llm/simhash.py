@@ -54,13 +54,15 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, name: str = "simha
     """docs with the fingerprint of text, a long, as the last column; a column of that name is replaced."""
     ship(docs.sparkSession)
     docs = docs.drop(name)
+    columns = [F.col(f"`{c.replace('`', '``')}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]  # mapInArrow asks for columns by name: not for one with a dot
+    text, names = [c.lower() for c in docs.columns].index("text"), [*docs.columns, name]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = pa.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, h], names=[*b.schema.names, name])
+            h = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(text)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, h], names=names)
 
-    return docs.mapInArrow(add, StructType(list(docs.schema.fields)).add(name, LongType()))
+    return docs.select(*columns).mapInArrow(add, StructType(list(docs.schema.fields)).add(name, LongType()))
 
 
 def links(prints: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +203,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, l
     pass through; columns named simhash or component_id are replaced.
     """
     fp, of_group = _fresh(docs.columns, "fp"), "component_id"
-    rest = [c for c in docs.columns if c.lower() not in ("text", "simhash", "component_id")]
+    rest = [f"`{c.replace('`', '``')}`" for c in docs.columns if c.lower() not in ("text", "simhash", "component_id")]
     with scratch() as keep:
         rows = stage(with_fingerprint(docs.select(*rest, "text"), shingle).drop("text"), "simhash-prints")
         prints = stage(rows.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")

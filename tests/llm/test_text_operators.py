@@ -83,6 +83,15 @@ def test_one_of_each_decides_by_row(spark):
     assert len(kinds) == len(rows) and all(r["row"] is not None and r["fp"] == "x" for r in kinds)
 
 
+def test_fingerprints_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8), (2, None, 9, 10)], "doc_id long, text string, `a.b` int, `c``d` int")
+    got = simhash.with_fingerprint(docs).orderBy("doc_id")
+    assert got.columns == [*docs.columns, "simhash"]
+    assert [tuple(r) for r in got.collect()] == [(1, "a b c d", 7, 8, simhash.fingerprint("a b c d")), (2, None, 9, 10, simhash.fingerprint(None))]
+    rows = simhash.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["a.b"], r["c`d"]) for r in rows) == [(1, 7, 8), (2, 9, 10)]
+
+
 def test_links_and_components_of_random_prints(spark):
     rng = random.Random(4)
     seeds = [rng.getrandbits(64) for _ in range(25)]
