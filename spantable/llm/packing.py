@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,10 @@ SHARD_TOKENS, SHARD_DOCS = 1 << 21, 4096
 CHAIN_WINDOWS = 6
 #: Seeds that are searched for at once, documents scored at once, and terms scored by matrix products, those that most documents hold.
 SEEDS, TOGETHER, DENSE = 6144, 256, 1024
-#: Directions by which seeds and documents are sorted into blocks.
-KINDS = 8
+#: Directions by which seeds and documents are sorted into blocks, and documents that are sorted at once.
+KINDS, HELD = 8, 8192
+#: Axes on which scores are estimated, every how many seeds one is shown all documents, and the share of the neighbours of these that an estimate may miss.
+AXES, PROBE, MISSED = 48, 48, 0.05
 #: Neighbours that all tasks together send back for a seed, about, and at most when many seeds ask for the same.
 NEIGHBOURS, MOST_NEIGHBOURS = 192, 768
 K1, B = 1.2, 0.75
@@ -67,11 +68,32 @@ def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Documents:
     """Some documents as the search sees them: keys, and postings of their terms with BM25 weights."""
 
-    def __init__(self, keys: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
-        self.keys, self.lengths = keys, lengths
-        self.owner = np.repeat(np.arange(len(keys)), [len(t) for t in terms])
-        self.term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(tfs)
-        self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.owner] / max(mean_length, 1.0)))).astype(np.float32)
+    def __init__(self, keys: np.ndarray, lengths: np.ndarray, counts: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.keys, self.lengths, self.counts, self.term, self.weight = keys, lengths, counts, term, weight
+
+    @classmethod
+    def of(cls, keys: np.ndarray, lengths: np.ndarray, counts: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, mean_length: float) -> Documents:
+        """Documents of these lengths, whose terms and how often each occurs lie end to end."""
+        norm = np.repeat(K1 * (1 - B + B * lengths / max(mean_length, 1.0)), counts)
+        return cls(keys, lengths, counts, term, (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
+
+    @classmethod
+    def joined(cls, some: list[Documents]) -> Documents:
+        return cls(*(np.concatenate([getattr(d, c) for d in some]) for c in ("keys", "lengths", "counts", "term", "weight")))
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.keys)), self.counts)
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.counts) - self.counts
+
+    def take(self, at: np.ndarray) -> Documents:
+        """Those at these places."""
+        n = self.counts[at]
+        places = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Documents(self.keys[at], self.lengths[at], n, self.term[places], self.weight[places])
 
     def dense(self, column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Weights of the terms that have a column, documents by columns; and the places of the postings of all others."""
@@ -98,22 +120,31 @@ def directions(rows: np.ndarray, n: int = KINDS, rounds: int = 5) -> np.ndarray:
     return centres
 
 
+def axes(rows: np.ndarray, n: int = AXES) -> np.ndarray:
+    """The n directions, columns, that hold most of these rows; they only say where to look."""
+    return np.ascontiguousarray(np.linalg.eigh(rows.T @ rows)[1][:, -n:])
+
+
 class Seeds:
     """Whole documents as queries: for each the best of all documents that are shown to it, a block at a time.
 
     A seed is left out of a block when the greatest weights that its terms have
     in the block do not add up to what the worst of its best documents scores.
+    With `estimate`, directions that hold most of what seeds ask for, a seed is
+    left out already when no score in the block, estimated on these directions,
+    comes near that. How near: every PROBE-th seed is shown all documents, and
+    of the estimates of what these find best a share of MISSED may be lower.
     """
 
-    def __init__(self, names: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, most: int, centres: np.ndarray | None = None) -> None:
+    def __init__(self, names: np.ndarray, terms: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, most: int, centres: np.ndarray | None = None, estimate: np.ndarray | None = None) -> None:
         self.idf, self.mean, self.most = idf, mean_length, most
-        self.column = np.full(len(idf), -1)
+        self.column, self.width = np.full(len(idf), -1), len(dense)
         self.column[dense] = np.arange(len(dense))
         wants = self._wants(terms, len(dense))
-        self.centres = directions(wants.T[:: max(1, len(terms) // 1024)]) if centres is None else centres
+        self.centres = directions(wants[:: max(1, len(terms) // 1024)]) if centres is None else centres
         # seeds of a kind stand together, so that those a block concerns are mostly a slice
-        self.order = order = np.argsort((self.centres @ wants).argmax(0), kind="stable") if len(terms) else np.zeros(0, np.int64)
-        self.names, terms, self.wants = names[order], [terms[i] for i in order], np.ascontiguousarray(wants[:, order])
+        self.order = order = np.argsort((wants @ self.centres.T).argmax(1), kind="stable") if len(terms) else np.zeros(0, np.int64)
+        self.names, terms, self.wants = names[order], [terms[i] for i in order], wants[order]
         owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         term = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
         at = self.column[term] < 0
@@ -121,16 +152,19 @@ class Seeds:
         self.rare, self.rare_owner = term[at][by_term], owner[at][by_term]
         self.bar = np.full(len(terms), -1, np.float32)
         empty = np.zeros(0, np.int64)
-        self._best = (empty, empty, empty, np.zeros(0, np.float32))  # seed, key, length, score
+        self._best = (empty, empty, empty, np.zeros(0, np.float32), np.zeros(0, np.float32))  # seed, key, length, score, estimate / score
         self._new: list[tuple] = []
         self._waiting = 0
         self.salt = (self.names * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32) | np.uint32(1)
+        self.axes, self.mapped = estimate, None if estimate is None else np.ascontiguousarray((self.wants @ estimate).T)
+        self.probe = np.arange(len(terms)) % PROBE == 0
+        self.near: float | None = None  # what an estimate must reach of a bar
 
     def _wants(self, terms: list[np.ndarray], width: int) -> np.ndarray:
         owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         at = self.column[np.concatenate(terms).astype(np.int64)] if terms else np.zeros(0, np.int64)
-        wants = np.zeros((width, len(terms)), np.float32)
-        wants[at[at >= 0], owner[at >= 0]] = 1
+        wants = np.zeros((len(terms), width), np.float32)
+        wants[owner[at >= 0], at[at >= 0]] = 1
         return wants
 
     @property
@@ -138,18 +172,34 @@ class Seeds:
         """Place of the seed as given, key, length and score, best first for each seed."""
         if self._new:
             self._settle()
-        return self.order[self._best[0]], *self._best[1:]
-
-    def kinds(self, docs: Documents) -> np.ndarray:
-        """The direction that each document is nearest to."""
-        return (docs.dense(self.column, len(self.wants))[0] @ self.centres.T).argmax(1)
-
-    def _concerned(self, docs: Documents, x: np.ndarray, rest: np.ndarray) -> slice | np.ndarray:
+        return self.order[self._best[0]], *self._best[1:4]
+
+    def in_turn(self, docs: Documents) -> Iterator[Documents]:
+        """Blocks of documents: some that weigh most, which raise the bars, then those of a kind together, the heavier ones of each kind first."""
+        kind = np.zeros(len(docs.keys), np.int64)
+        for i in range(0, len(kind), 1024):
+            x, _ = docs.take(np.arange(i, min(i + 1024, len(kind)))).dense(self.column, self.width)
+            kind[i : i + 1024] = (x @ self.centres.T).argmax(1)
+        order = np.argsort(-np.bincount(docs.owner, docs.weight, len(kind)), kind="stable")
+        head, order = order[:TOGETHER], order[TOGETHER:]
+        yield docs.take(head)
+        by_kind = order[np.argsort(kind[order], kind="stable")]
+        level = (np.arange(len(by_kind)) - np.searchsorted(kind[by_kind], kind[by_kind])) // TOGETHER
+        at = np.argsort(level, kind="stable")
+        group = (level * (len(self.centres) + 1) + kind[by_kind])[at]
+        for some in np.split(by_kind[at], np.flatnonzero(np.diff(group)) + 1):
+            if len(some):
+                yield docs.take(some)
+
+    def _concerned(self, docs: Documents, x: np.ndarray, rest: np.ndarray, guess: np.ndarray | None) -> slice | np.ndarray:
         """The seeds for which a document of this block may be among the best."""
-        most = np.zeros(len(self.idf), np.float32)
-        np.maximum.at(most, docs.term[rest], docs.weight[rest])
-        bound = x.max(0) @ self.wants + np.bincount(self.rare_owner, most[self.rare], len(self.names))
-        live = np.flatnonzero(bound * (1 + 1e-4) >= self.bar)  # far more than what single precision can lose
+        if guess is not None and self.near is not None:
+            live = np.flatnonzero((guess.max(0) >= self.bar * self.near) | self.probe | (self.bar < 0))
+        else:
+            most = np.zeros(len(self.idf), np.float32)
+            np.maximum.at(most, docs.term[rest], docs.weight[rest])
+            bound = self.wants @ x.max(0) + np.bincount(self.rare_owner, most[self.rare], len(self.names))
+            live = np.flatnonzero(bound * (1 + 1e-4) >= self.bar)  # far more than what single precision can lose
         if not len(live):
             return live
         span = slice(int(live[0]), int(live[-1]) + 1)
@@ -158,24 +208,27 @@ class Seeds:
     def show(self, keys: np.ndarray, docs: list[np.ndarray]) -> None:
         """Show documents, each as its ids."""
         parts = [_terms(d) for d in docs]
-        self.show_all(Documents(keys, np.array([len(d) for d in docs], np.int64), [t for t, _ in parts], [n for _, n in parts], self.idf, self.mean))
+        lengths, counts = (np.array([len(x) for x in v], np.int64) for v in (docs, [t for t, _ in parts]))
+        self.show_all(Documents.of(keys, lengths, counts, *(np.concatenate(v) for v in zip(*parts)), self.idf, self.mean))
 
     def show_all(self, docs: Documents) -> None:
-        x, rest = docs.dense(self.column, len(self.wants))
-        which = self._concerned(docs, x, rest)
+        x, rest = docs.dense(self.column, self.width)
+        guess = None if self.axes is None else (x @ self.axes) @ self.mapped
+        which = self._concerned(docs, x, rest, guess)
         numbers = np.arange(len(self.names))[which]
         if not len(numbers):
             return
-        score = x @ self.wants[:, which]
+        score = x @ self.wants[which].T
         # the other terms: every pair of a posting of these documents and a seed that wants its term
-        term, owner, weight = docs.term[rest], docs.owner[rest], docs.weight[rest]
-        lo, hi = np.searchsorted(self.rare, term), np.searchsorted(self.rare, term, side="right")
-        pairs = hi - lo
+        term, owner, weight = docs.term[rest].astype(np.int64), docs.owner[rest], docs.weight[rest]
         place = np.full(len(self.names), -1)
         place[numbers] = np.arange(len(numbers))
-        seed = place[self.rare_owner[np.repeat(lo - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())]]
-        some = seed >= 0
-        np.add.at(score.reshape(-1), (np.repeat(owner * score.shape[1], pairs) + seed)[some], np.repeat(weight, pairs)[some])
+        asks = np.flatnonzero(place[self.rare_owner] >= 0)
+        rare, rare_place = self.rare[asks], place[self.rare_owner[asks]]
+        lo, hi = np.searchsorted(rare, term), np.searchsorted(rare, term, side="right")
+        pairs = hi - lo
+        seed = rare_place[np.repeat(lo - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())]
+        np.add.at(score.reshape(-1), np.repeat(owner * score.shape[1], pairs) + seed, np.repeat(weight, pairs))
         n = len(docs.keys)
         bar = self.bar[numbers]
         if n > self.most:
@@ -188,22 +241,26 @@ class Seeds:
         spread ^= spread >> np.uint32(15)
         s = (s * (1 + (spread >> np.uint32(24)) * 4e-9)).astype(np.float32)
         keep = s > self.bar[seed]
-        self._new.append((seed[keep], key[keep], docs.lengths[doc[keep]], s[keep]))
+        ratio = np.zeros(np.count_nonzero(keep), np.float32) if guess is None else guess[doc[keep], seed[keep]] / np.maximum(s[keep], np.float32(1e-9))
+        self._new.append((seed[keep], key[keep], docs.lengths[doc[keep]], s[keep], ratio))
         self._waiting += int(np.count_nonzero(keep))
         if (self.bar[numbers] < 0).any() or self._waiting > len(self.names) * self.most // 4:
             self._settle()
 
     def _settle(self) -> None:
         """Take what was found since the last time into the best of each seed, and raise the bars."""
-        seed, key, length, s = (np.concatenate(v) for v in zip(self._best, *self._new))
+        seed, key, length, s, ratio = (np.concatenate(v) for v in zip(self._best, *self._new))
         self._new, self._waiting = [], 0
         # by seed, then the greatest score; scores are not negative, so their bits are in the order of their values
         order = np.argsort(seed.astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - s.view(np.uint32)))
         order = order[np.arange(len(order)) - np.searchsorted(seed[order], np.arange(len(self.names)))[seed[order]] < self.most]
-        self._best = seed[order], key[order], length[order], s[order]
+        self._best = seed[order], key[order], length[order], s[order], ratio[order]
         count = np.bincount(self._best[0], minlength=len(self.names))
         full = np.flatnonzero(count == self.most)
         self.bar[full] = self._best[3][np.cumsum(count)[full] - 1]
+        if self.axes is not None and len(full):
+            known = self._best[4][self.probe[self._best[0]] & (self.bar[self._best[0]] >= 0)]
+            self.near = float(np.quantile(known, MISSED)) if len(known) >= 256 else None
 
 
 def _best_first(score: np.ndarray, n: int, first: int = 64) -> Iterator[int]:
@@ -342,8 +399,25 @@ class _Used:
         bits, at = self.bits.get(key >> 32, b""), key & 0xFFFFFFFF
         return at >> 3 < len(bits) and bool(bits[at >> 3] >> (at & 7) & 1)
 
+    def has_all(self, keys: np.ndarray) -> np.ndarray:
+        """has() of each key."""
+        out = np.zeros(len(keys), bool)
+        for p in np.unique(keys >> 32).tolist():
+            bits, here = np.frombuffer(bytes(self.bits.get(p, b"\0")) or b"\0", np.uint8), np.flatnonzero(keys >> 32 == p)
+            at = keys[here] & 0xFFFFFFFF
+            out[here] = (at >> 3 < len(bits)) & (bits[np.minimum(at >> 3, len(bits) - 1)] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _flat(lists: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays held as bytes: how long each is, and all of them end to end."""
+    lists = lists.cast(pa.large_binary())
+    ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+    data = np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return np.diff(ends) // np.dtype(dtype).itemsize, data.copy().view(dtype)
+
 
-def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, dtype: str, window: int, shard_tokens: int, shard_docs: int) -> DataFrame | None:
+def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, dtype: str, window: int, shard_tokens: int, shard_docs: int, exact: bool) -> DataFrame | None:
     """key, chain and at (order within the chain) of the documents that chains take, which are marked as used; None: no chains needed."""
     n, tokens = all_
     if n <= shard_docs and tokens <= shard_tokens:
@@ -364,7 +438,7 @@ def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, d
         filled = 0
         for i in range(0, len(chain), SEEDS):
             some = slice(i, i + SEEDS)
-            of, key, size, where = _draft(_neighbours(rows, used, chain[some], seed[some], model, dtype, most), chain[some], window - length[some] % window)
+            of, key, size, where = _draft(_lists(rows, used, chain[some], seed[some], model, dtype, most, exact), chain[some], window - length[some] % window)
             if not len(key):
                 continue
             at += 1
@@ -390,74 +464,74 @@ def _chains(rows: DataFrame, used: _Used, all_: tuple[int, int], model: tuple, d
 
 def _draft(claims: pa.Table, chain: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seeds take turns, each the best document on its list that none has taken, until their rooms are full: chain, key, length and place of the chain, by chain and in the order taken."""
-    claims = claims.sort_by([("chain", "ascending"), ("score", "descending"), ("key", "ascending")])
-    # arrays of machine integers: lists of objects would take five times the driver's memory
-    of, keys, sizes = claims["chain"].to_numpy(), array("q", claims["key"].to_numpy().tobytes()), array("q", claims["n"].to_numpy().tobytes())
-    next_, ends = np.searchsorted(of, chain).tolist(), np.searchsorted(of, chain, side="right").tolist()
-    room, taken, mine = room.tolist(), set(), [[] for _ in chain]
+    keys, sizes = [memoryview(b"").cast("q")] * len(chain), [memoryview(b"").cast("I")] * len(chain)
+    for c, k, n in zip(np.searchsorted(chain, claims["chain"].to_numpy()).tolist(), claims["keys"], claims["ns"]):
+        # views of what was received: lists of objects would take many times the driver's memory
+        keys[c], sizes[c] = memoryview(k.as_buffer()).cast("b").cast("q"), memoryview(n.as_buffer()).cast("b").cast("I")
+    next_, room, taken, mine = [0] * len(chain), room.tolist(), set(), [[] for _ in chain]
     turn = list(range(len(chain)))
     while turn:
         again = []
         for c in turn:
-            at = next_[c]
-            while at < ends[c] and keys[at] in taken:
+            at, mine_of = next_[c], keys[c]
+            while at < len(mine_of) and mine_of[at] in taken:
                 at += 1
             next_[c] = at + 1
-            if at < ends[c]:
-                taken.add(keys[at])
+            if at < len(mine_of):
+                taken.add(mine_of[at])
                 mine[c].append(at)
-                room[c] -= sizes[at]
+                room[c] -= sizes[c][at]
                 if room[c] > 0:
                     again.append(c)
         turn = again
-    at = np.array([x for m in mine for x in m], np.int64)
     where = np.repeat(np.arange(len(chain)), [len(m) for m in mine])
-    return chain[where], claims["key"].to_numpy()[at], claims["n"].to_numpy()[at], where
+    key, size = (np.array([v[c][at] for c, m in enumerate(mine) for at in m], np.int64) for v in (keys, sizes))
+    return chain[where], key, size, where
 
 
-def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarray, model: tuple, dtype: str, most: int) -> pa.Table:
-    """chain, key, n and score: for each seed its best neighbours among all unused documents of the corpus, about `most` of them, `most` over the tasks from each task."""
+def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarray, model: tuple, dtype: str, most: int, exact: bool = False) -> pa.Table:
+    """chain, key and n: the lists of _lists(), a row for each neighbour."""
+    t = _lists(rows, used, chain, seed, model, dtype, most, exact).combine_chunks()
+    (counts, key), (_, n) = ((_flat(pa.concat_arrays(t[c].chunks), d) if len(t) else (np.zeros(0, np.int64), np.zeros(0, d))) for c, d in (("keys", "<i8"), ("ns", "<u4")))
+    return pa.table({"chain": np.repeat(t["chain"].to_numpy(), counts), "key": key, "n": n})
+
+
+def _lists(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarray, model: tuple, dtype: str, most: int, exact: bool = False) -> pa.Table:
+    """chain, keys and ns: for each seed its best neighbours among all unused documents of the corpus, best first, about `most` of them, `most` over the tasks from each task. exact: no document is passed over by an estimate."""
     spark = rows.sparkSession
     tasks = 2 * spark.sparkContext.defaultParallelism
     most = max(2, -(-most // tasks))
     asked = F.broadcast(spark.createDataFrame(pa.table({"chain": chain, "key": seed})))
     t = rows.select("key", "terms").join(asked, "key").select("chain", "terms").toArrow()
     names, queries = t["chain"].to_numpy(), t["terms"].to_pylist()
-    centres = Seeds(names[: 1 << 11], [np.frombuffer(x, dtype) for x in queries[: 1 << 11]], *model, 1).centres
-    sent = spark.sparkContext.broadcast((names, queries, used, model, centres))
+    some = Seeds(names[: 1 << 11], [np.frombuffer(x, dtype) for x in queries[: 1 << 11]], *model, 1)
+    sent = spark.sparkContext.broadcast((names, queries, used, model, some.centres, None if exact else axes(some.wants)))
+    del some, t, queries
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("packing")  # what encoding remembered would be held beside the seeds' lists
-        names, queries, used, (idf, mean, common), centres = sent.value
-        seeds = Seeds(names, [np.frombuffer(x, dtype) for x in queries], idf, mean, common, most, centres)
-        held: list[tuple] = []
-        kinds: dict[int, list[tuple]] = defaultdict(list)
-
-        def block(some: list[tuple]) -> Documents:
-            k, t, f, n = zip(*some)
-            return Documents(np.array(k, np.int64), np.array(n, np.int64), list(t), list(f), idf, mean)
-
-        def deal() -> None:
-            """Documents of a kind wait for each other."""
-            for x, kind in zip(held, seeds.kinds(block(held)).tolist() if held else ()):
-                kinds[kind].append(x)
-                if len(kinds[kind]) == TOGETHER:
-                    seeds.show_all(block(kinds.pop(kind)))
+        names, queries, used, (idf, mean, common), centres, estimate = sent.value
+        seeds = Seeds(names, [np.frombuffer(x, dtype) for x in queries], idf, mean, common, most, centres, estimate)
+        held: list[Documents] = []
+
+        def show() -> None:
+            for block in seeds.in_turn(Documents.joined(held)) if held else ():
+                seeds.show_all(block)
             held.clear()
 
         for b in batches:
-            for k, n, t, f in zip(*(b.column(c).to_pylist() for c in ("key", "n", "terms", "tfs"))):
-                if not used.has(k):
-                    held.append((k, np.frombuffer(t, dtype), np.frombuffer(f, "<u4"), n))
-                    if len(held) == TOGETHER:
-                        deal()
-        deal()
-        for rest in kinds.values():
-            seeds.show_all(block(rest))
+            b = b.filter(pa.array(~used.has_all(b.column("key").to_numpy())))
+            if not b.num_rows:
+                continue
+            (counts, terms), (_, tfs) = _flat(b.column("terms"), dtype), _flat(b.column("tfs"), "<u4")
+            held.append(Documents.of(b.column("key").to_numpy(), b.column("n").to_numpy(), counts, terms, tfs, idf, mean))
+            if sum(len(d.keys) for d in held) >= HELD:
+                show()
+        show()
         seed, key, n, score = seeds.best
         ends = np.flatnonzero(np.diff(seed, append=-1)) + 1
         lists = list(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())) if len(seed) else []
-        cols = [pa.array([c[i:j].tobytes() for i, j in lists], pa.binary()) for c in (key.astype("<i8"), n.astype("<i8"), score.astype("<f4"))]
+        cols = [pa.array([c[i:j].tobytes() for i, j in lists], pa.binary()) for c in (key.astype("<i8"), n.astype("<u4"), score.astype("<f4"))]
         yield pa.RecordBatch.from_arrays([pa.array(names[seed[[i for i, _ in lists]]] if lists else np.zeros(0, np.int64)), *cols], names=["chain", "keys", "ns", "scores"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +542,7 @@ def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarra
         are the best of all documents, in order.
         """
         t = pa.Table.from_batches(batches, schema=pa.schema([("chain", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("scores", pa.binary())]))
-        key, n, score = (np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("keys", "<i8"), ("ns", "<i8"), ("scores", "<f4")))
+        key, n, score = (np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("keys", "<i8"), ("ns", "<u4"), ("scores", "<f4")))
         sizes = np.array([len(x) // 8 for x in t["keys"].to_pylist()], np.int64)
         chain, which = np.unique(t["chain"].to_numpy(), return_inverse=True)
         sure = np.full(len(chain), -1, np.float32)
@@ -476,17 +550,20 @@ def _neighbours(rows: DataFrame, used: _Used, chain: np.ndarray, seed: np.ndarra
         at = np.repeat(which, sizes)
         order = np.lexsort((key, -score, at))
         order = order[score[order] >= sure[at[order]]]
-        yield pa.RecordBatch.from_arrays([pa.array(chain[at[order]]), *(pa.array(c[order]) for c in (key, n, score))], names=["chain", "key", "n", "score"])
+        begins = np.flatnonzero(np.diff(at[order], prepend=-1))
+        lists = list(zip(begins.tolist(), [*begins[1:].tolist(), len(order)]))
+        cols = [pa.array([c[order[i:j]].tobytes() for i, j in lists], pa.binary()) for c in (key, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(chain[at[order[begins]]]), *cols], names=["chain", "keys", "ns"])
 
     found = rows.select("key", "n", "terms", "tfs").coalesce(tasks).mapInArrow(search, "chain long, keys binary, ns binary, scores binary")
     with batches_of(spark, BATCH_BYTES):
         # lists of about 16 MB to a task
-        out = found.repartition(-(-len(chain) * tasks * most * 20 // (16 << 20)), "chain").mapInArrow(best, "chain long, key long, n long, score float").toArrow()
+        out = found.repartition(-(-len(chain) * tasks * most * 20 // (16 << 20)), "chain").mapInArrow(best, "chain long, keys binary, ns binary").toArrow()
     sent.destroy()
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS, exact: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit integers).
 
     Every document, null text as empty, is its ids and the end id. Chains of
@@ -502,8 +579,11 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
     lack it, are documents of their own. Empty table: no rows. Extra columns
     are ignored.
 
-    The work grows with windows times documents. The driver holds a bit for
-    each document, the chains, and the lists of a block of seeds.
+    A seed passes over blocks of documents whose estimated scores are far from
+    its best so far (see Seeds); with exact it passes over none that may hold one
+    of them. The work grows with windows times documents, the share of it that
+    is left to do shrinks as there are more documents. The driver holds a bit
+    for each document, the chains, and the lists of a block of seeds.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -515,7 +595,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), float(tokens / n if n else 1)
     common = np.argsort(-df, kind="stable")[:DENSE]
     used = _Used()
-    placed = _chains(rows, used, (n, tokens), (idf, mean, common), dtype, window, shard_tokens, shard_docs)
+    placed = _chains(rows, used, (n, tokens), (idf, mean, common), dtype, window, shard_tokens, shard_docs, exact)
 
     def batch(cols: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])

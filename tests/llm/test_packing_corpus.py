@@ -4,6 +4,7 @@ import os
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spantable.llm import packing
@@ -33,6 +34,49 @@ def test_seeds_find_the_best_of_all():
     assert np.allclose(index.scores(long), want)
 
 
+def test_estimates_leave_out_seeds_and_keep_the_best(monkeypatch):
+    """Recall of the lists against the exact search, where most pairs of a block and a seed are left out."""
+    rng = np.random.default_rng(7)
+    ranks = [rng.permutation(600) for _ in range(12)]
+    # words of a topic by Zipf's law, long documents and short ones
+    docs = [np.minimum(ranks[i % 12][np.minimum(rng.zipf(1.3, n), 600) - 1], 599) for i, n in enumerate(rng.lognormal(4, 1, 6000).astype(int) + 5)]
+    bags = [packing._terms(d) for d in docs]
+    df = np.bincount(np.concatenate([t for t, _ in bags]), minlength=600)
+    idf, mean = np.log1p((6000 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    lengths, counts = (np.array([len(x) for x in v]) for v in (docs, [t for t, _ in bags]))
+    shown = packing.Documents.of(np.arange(6000), lengths, counts, *(np.concatenate(v) for v in zip(*bags)), idf, mean)
+    found, work = [], []
+    concerned = packing.Seeds._concerned
+    monkeypatch.setattr(packing.Seeds, "_concerned", lambda self, *a: work.append(np.arange(len(self.names))[got := concerned(self, *a)].size) or got)
+    monkeypatch.setattr(packing, "TOGETHER", 64)
+    for estimate in (False, True):
+        args = (np.arange(1000), [t for t, _ in bags[:1000]], idf, mean, np.argsort(-df)[:300], 16)
+        plain = packing.Seeds(*args)
+        seeds = packing.Seeds(*args, plain.centres, packing.axes(plain.wants) if estimate else None)
+        work.clear()
+        blocks = list(seeds.in_turn(shown))
+        assert sorted(np.concatenate([b.keys for b in blocks]).tolist()) == list(range(6000))
+        for b in blocks:
+            seeds.show_all(b)
+        found.append((sum(work), set(zip(seeds.best[0].tolist(), seeds.best[1].tolist()))))
+    (all_, exact), (some, near) = found
+    assert len(exact) == len(near) == 16000
+    assert len(exact & near) >= 0.9 * len(exact) and some < 0.7 * all_, (len(exact & near), some, all_)
+
+
+def test_used_keys_and_drafts():
+    used, rng = packing._Used(), np.random.default_rng(2)
+    keys = rng.integers(0, 3, 500) << 32 | rng.integers(0, 200, 500)
+    used.add(keys[:200])
+    assert used.has_all(keys).tolist() == [used.has(k) for k in keys.tolist()] and used.has_all(keys[:200]).all() and not used.has_all(keys).all()
+    # the first of chain 4 is taken before chain 9 has its turn; chain 7 has no list
+    lists = [(9, [5, 6, 8], [10, 10, 10]), (4, [5, 8, 6], [3, 9, 9])]
+    claims = pa.table({"chain": [c for c, *_ in lists], "keys": [np.array(k, "<i8").tobytes() for _, k, _ in lists], "ns": [np.array(n, "<u4").tobytes() for *_, n in lists]})
+    of, key, size, where = packing._draft(claims, np.array([4, 7, 9]), np.array([10, 10, 15]))
+    assert (of.tolist(), key.tolist(), size.tolist(), where.tolist()) == ([4, 4, 9], [5, 8, 6], [3, 9, 10], [0, 0, 2])
+    assert packing._flat(pa.array([b"", b"abcd", b"abcdefgh"], pa.binary()).slice(1), "<u4")[0].tolist() == [1, 2]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
 def test_alike_meet_across_the_corpus(spark):
     """Documents of a topic share many middling words; each has two rare words of its own, which says nothing about the topic."""
