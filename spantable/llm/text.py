@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +28,16 @@ def take_over(owner: str) -> None:
         _owner[:] = [owner]
         for f in _forget:
             f()
+        gc.collect()  # memories of words refer to the encoders that hold them
+        give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def forget_with(f: Callable[[], None]) -> None:

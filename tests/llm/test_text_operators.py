@@ -1,7 +1,9 @@
 """op3 to op9 against brute force, exact round trips and held-out accuracy."""
 
+import gc
 import os
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spantable.llm import langid, packing, ppm, quality, simhash, tokens, wavelet, wordpiece
+from spantable.llm import langid, packing, ppm, quality, simhash, text, tokens, wavelet, wordpiece
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,6 +180,21 @@ def test_equal_rows_are_dealt_to_many_shards(spark):
     assert [r[0] for r in got] == [None] * 300 + [3] * 300 and len(set(r[2:] for r in got)) == 2 and [r[1] for r in got] == np.concatenate(([0], np.cumsum([r[2] for r in got])[:-1])).tolist()
 
 
+def test_the_next_operator_frees_the_words_remembered():
+    """Encoders and their words refer to each other, so dropping them is not enough: a worker held them until the collector came by."""
+    text.take_over("tokens")
+    enc = tokens.word_tokens(tokens.TOKENIZER, tokens.END)
+    assert len(enc.encode("some words")) > 2
+    gone = weakref.ref(enc)
+    del enc
+    gc.disable()
+    try:
+        text.take_over("packing")
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_other_tokenizer_files_are_encoded_whole(tmp_path):
     """A file whose pattern or normalizer differs is not taken apart into words."""
     import json
