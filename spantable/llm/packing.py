@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spantable.cluster import BATCH_BYTES, batches_of, scratch, ship, stage
+from spantable.cluster import BATCH_BYTES, batches_of, scratch, shared_path, ship, stage
 from spantable.llm.text import take_over
 from spantable.llm.tokens import END, TOKENIZER, word_tokens
 
@@ -348,21 +349,32 @@ def _windows(now: list[tuple[int, int, int]], window: int) -> tuple[list, list]:
     return full, now
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+def _encoded(docs: DataFrame, tokenizer: str, end: int) -> tuple[DataFrame, DataFrame]:
+    """The documents as ids and terms, twice the same staged table: as files, and as buckets by part, the task that encoded them."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("tokens")
-        enc, key = word_tokens(tokenizer, end), TaskContext.get().partitionId() << 32
+        enc, part_ = word_tokens(tokenizer, end), TaskContext.get().partitionId()
+        key = part_ << 32
         for b in batches:
             texts = b.column("text")
             for at in range(0, b.num_rows, 1024):
                 part = [enc.encode(x) for x in texts.slice(at, 1024).to_pylist()]
                 bags = [_terms(x) for x in part]
                 cols = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (part, (t for t, _ in bags), (n.astype("<u4") for _, n in bags))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(part))), b.column("doc_id").slice(at, 1024), pa.array([len(x) for x in part], pa.int64()), *cols], names=["key", "doc_id", "n", "ids", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), part_)), pa.array(np.arange(key, key + len(part))), b.column("doc_id").slice(at, 1024), pa.array([len(x) for x in part], pa.int64()), *cols], names=["part", "key", "doc_id", "n", "ids", "terms", "tfs"])
                 key += len(part)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(encode, "key long, doc_id long, n long, ids binary, terms binary, tfs binary"), "packing-ids")
+    spark, name = docs.sparkSession, f"packing_ids_{uuid.uuid4().hex}"
+    out = rows.mapInArrow(encode, "part long, key long, doc_id long, n long, ids binary, terms binary, tfs binary")
+    path = shared_path(spark, "packing-ids")
+    with batches_of(spark, BATCH_BYTES):
+        # a task has one part, so it writes one file
+        out.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").option("path", path).saveAsTable(name)
+    buckets = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files outside the warehouse stay
+    return spark.read.schema(out.schema).parquet(path), buckets
 
 
 def document_frequencies(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
@@ -382,6 +394,35 @@ def document_frequencies(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
     return out
 
 
+def _by_chain(buckets: DataFrame, placed: DataFrame) -> DataFrame:
+    """chain, at, doc_id and ids of the documents that have a place.
+
+    The ids move once, to their chains: places go to the buckets of the parts,
+    a row a part that holds the place of each of its documents by number.
+    """
+
+    def of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches, schema=pa.schema([(c, pa.int64()) for c in ("key", "chain", "at")]))
+        key, chain, at = (t[c].to_numpy() for c in t.column_names)
+        order = np.argsort(key)
+        key, chain, at = key[order], chain[order], at[order]
+        for some in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key >> 32)) + 1) if len(key) else ():
+            where = key[some] & 0xFFFFFFFF
+            taken = np.ones(where[-1] + 1, bool)
+            taken[where] = False
+            lists = []
+            for v in (chain, at):
+                x = np.zeros(len(taken), np.int64)
+                x[where] = v[some]
+                lists.append(pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), pa.array(x, mask=taken)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some[:1]] >> 32), *lists], names=["part", "chains", "ats"])
+
+    places = placed.repartition(F.shiftright("key", 32)).select("key", "chain", "at").mapInArrow(of_parts, "part long, chains array<long>, ats array<long>")
+    number = "cast(key & 4294967295 as int)"
+    found = buckets.join(places.hint("shuffle_hash"), "part").select(F.expr(f"get(chains, {number})").alias("chain"), F.expr(f"get(ats, {number})").alias("at"), "doc_id", "ids")
+    return found.filter("chain IS NOT NULL")
+
+
 class _Used:
     """A bit for each key, by the partition that made it."""
 
@@ -589,7 +630,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
     ship(spark)
     enc = word_tokens(tokenizer, end)
     size, dtype = max(enc.tok.get_vocab_size(), end + 1), enc.dtype.str
-    rows = _encoded(docs, tokenizer, end)
+    rows, buckets = _encoded(docs, tokenizer, end)
     n, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(rows, size, dtype)
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), float(tokens / n if n else 1)
@@ -615,8 +656,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
 
     def unused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([not used.has(k) for k in b.column("key").to_pylist()], pa.bool_())
-            yield b.filter(keep)
+            yield b.filter(pa.array(~used.has_all(b.column("key").to_numpy())))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held = [], []
@@ -655,10 +695,14 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: in
         yield from lay(_powers([(i, x[1], x[2]) for i, x in enumerate(ends)]), [x[0] for x in ends], [x[3] for x in ends], sequence)
 
     fields = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    rest = rows.select("key", "doc_id", "ids").mapInArrow(unused, "key long, doc_id long, ids binary").repartition(1).sortWithinPartitions("key").mapInArrow(fill, fields)
+    rest = rows.select("key", "doc_id", "ids")
+    if placed is not None:
+        # no more than shard_docs keys
+        rest = rest.join(F.broadcast(rows.select("key").mapInArrow(unused, "key long")), "key")
+    rest = rest.repartition(1).sortWithinPartitions("key").mapInArrow(fill, fields)
     if placed is None:
         return rest
-    chains = rows.select("key", "doc_id", "ids").join(placed, "key").repartition("chain").sortWithinPartitions("chain", "at")
+    chains = _by_chain(buckets, placed).repartition("chain").sortWithinPartitions("chain", "at")
     return chains.select("chain", "doc_id", "ids").mapInArrow(join, fields).union(rest)
 
 

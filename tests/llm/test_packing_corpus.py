@@ -99,3 +99,23 @@ def test_alike_meet_across_the_corpus(spark):
     full = [len(x) for s, x in seqs.items() if sizes[s] == 1024]
     assert all(total[r["doc_id"]] == r["doc_tokens"] for r in rows) and len(total) == 240
     assert np.mean(full) < 2.5, full
+
+
+def test_ids_move_once(spark):
+    """Only places are dealt out to meet the documents, in a plan that is the same at any size; every document comes, in the order of its chain."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, buckets = packing._encoded(spark.range(0, 500, 1, 7).selectExpr("id AS doc_id", "concat('word ', id) AS text"), packing.TOKENIZER, packing.END)
+        all_ = sorted(rows.select("key", "doc_id").collect())
+        # of the first part every other document has a place, of the last none
+        places = [(r["key"], r["key"] % 5, i) for i, r in enumerate(all_) if r["key"] >> 32 < 6 and (r["key"] >> 32 or r["key"] % 2)]
+        got = packing._by_chain(buckets, spark.createDataFrame(places, "key long, chain long, at long").repartition(3))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan, plan
+        assert plan.count("Exchange hashpartitioning(") == 2, plan  # of the places, to make a row a part and to meet the buckets
+        doc = dict(all_)
+        assert sorted((r["chain"], r["at"], r["doc_id"]) for r in got.collect()) == sorted((c, i, doc[k]) for k, c, i in places)
+        assert got.filter("ids IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
