@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bases that one window partition of a sweep holds.
@@ -50,59 +51,43 @@ def coverage(features: DataFrame, stride: int = STRIDE) -> DataFrame:
     return out.filter("v > 0").select("chrom", "s", "e", F.col("v").cast("long").alias("depth"))
 
 
-def join_runs(track: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """Touching rows of equal value become one row; rows must not overlap.
-
-    Rows are compared with their neighbours, within strides of the axis by a
-    window, across strides by the last and the first row of each; NaN equals
-    NaN. No task holds a chromosome.
-    """
-    rows = track.filter("s < e").select("chrom", "s", "e", "v").withColumn("_b", F.floor(F.col("s") / stride).cast("long"))
-    inside, along = Window.partitionBy("chrom", "_b").orderBy("s"), Window.partitionBy("chrom").orderBy("_b")
-    edges = rows.groupBy("chrom", "_b").agg(F.min(F.struct("s", "v")).alias("first"), F.max(F.struct("s", "e", "v")).alias("last"))
-    edges = edges.select("chrom", "_b", F.lag("last").over(along).alias("_before"), F.lead("first").over(along).alias("_after"))
-    before = F.coalesce(F.lag(F.struct("s", "e", "v")).over(inside), F.col("_before"))
-    after = F.coalesce(F.lead(F.struct("s", "v")).over(inside), F.col("_after"))
-    begins = ~F.coalesce((before.e == F.col("s")) & before.v.eqNullSafe(F.col("v")), F.lit(False))
-    ends = ~F.coalesce((after.s == F.col("e")) & after.v.eqNullSafe(F.col("v")), F.lit(False))
-    marked = rows.join(edges, ["chrom", "_b"]).select("chrom", "_b", "s", "e", "v", begins.alias("begins"), F.when(ends, F.col("e")).alias("end"))
-    later = marked.groupBy("chrom", "_b").agg(F.min("end").alias("end"))
-    later = later.select("chrom", "_b", F.min("end").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    run = F.coalesce(F.min("end").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_later"))
-    return marked.join(later, ["chrom", "_b"]).select("chrom", "s", run.alias("e"), "v", "begins").filter("begins").drop("begins")
-
-
-def _combine(tracks: list[DataFrame], how: str, stride: int) -> DataFrame:
-    """Pieces (chrom, s, e, v) between the ends of all rows: v is the sum or max, in the order of tracks, of those that have data there.
+def _runs(tracks: list[DataFrame], how: str, value: Callable[[Column], Column], stride: int) -> DataFrame:
+    """Maximal runs (chrom, s, e, v) of value(x) where it is not null; x is the sum or max, in the order of tracks, of those that have data there.
 
     At a cut each track has the value that its last event left, found by a
     window within a stride and, for its begin, by one along the strides. So a
-    value counts exactly where its row lies, whatever stands elsewhere.
+    value counts exactly where its row lies, whatever stands elsewhere. Only
+    cuts where the value changes are kept, NaN being equal to NaN; a run ends at
+    the next of them. All windows look back or one row ahead, so work grows with
+    the rows of a stride, not with their square; events move once, to their
+    strides.
     """
     rows = reduce(DataFrame.union, [t.filter("s < e and v is not null").select("chrom", "s", "e", F.col("v").cast("double").alias("v"), F.lit(i).alias("t")) for i, t in enumerate(tracks)])
-    ends = F.array(F.struct(F.col("s").alias("pos"), F.struct(F.lit(1).alias("on"), "v").alias("x")), F.struct(F.col("e").alias("pos"), F.struct(F.lit(0).alias("on"), "v").alias("x")))
-    events = rows.select("chrom", "t", F.explode(ends).alias("c")).select("chrom", "t", "c.pos", "c.x")
-    names = [f"x{i}" for i in range(len(tracks))]
+    ends = F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("on"), "v"), F.struct(F.col("e").alias("pos"), F.lit(0).alias("on"), F.lit(None).cast("double").alias("v")))
+    events = rows.select("chrom", "t", F.explode(ends).alias("c")).select("chrom", F.floor(F.col("c.pos") / stride).cast("long").alias("_b"), "t", "c.pos", "c.on", "c.v")
     # where a row ends and the next one of its track begins, the begin counts
-    cuts = events.groupBy("chrom", "pos").agg(*[F.max(F.when(F.col("t") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])
-    cuts = cuts.withColumn("_b", F.floor(F.col("pos") / stride).cast("long"))
+    state = [f"{x}{i}" for i in range(len(tracks)) for x in ("on", "v")]
+    of = [F.max(F.when(F.col("t") == i, F.col(x))).alias(f"{x}{i}") for i in range(len(tracks)) for x in ("on", "v")]
+    cuts = events.repartition("chrom", "_b").groupBy("chrom", "_b", "pos").agg(*of)
     along, inside = Window.partitionBy("chrom").orderBy("_b"), Window.partitionBy("chrom", "_b").orderBy("pos")
-    last = [F.max(F.when(F.col(n).isNotNull(), F.struct("pos", F.col(n).alias("x")))).alias(n) for n in names]
-    strides = cuts.groupBy("chrom", "_b").agg(F.min("pos").alias("first"), *last)
-    carried = [F.last(f"{n}.x", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{n}") for n in names]
-    strides = strides.select("chrom", "_b", F.lead("first").over(along).alias("_next"), *carried)
+    strides = cuts.groupBy("chrom", "_b").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("pos"))).alias(n) for n in state])
+    strides = strides.select("chrom", "_b", *[F.last(n, True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{n}") for n in state])
+
+    def now(names: dict[str, Column]) -> Column:
+        xs = [F.when(names[f"on{i}"] == 1, names[f"v{i}"]) for i in range(len(tracks))]
+        if len(xs) == 1:
+            return value(xs[0])
+        x = F.greatest(*xs) if how == "max" else reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in xs])
+        return value(F.when(F.coalesce(*xs).isNotNull(), x))
+
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    now = [F.coalesce(F.last(n, True).over(upto), F.col(f"_{n}")).alias(n) for n in names]
-    pieces = cuts.join(strides, ["chrom", "_b"]).select("chrom", F.col("pos").alias("s"), F.coalesce(F.lead("pos").over(inside), "_next").alias("e"), *now)
-    values = [F.when(F.col(f"{n}.on") == 1, F.col(f"{n}.v")) for n in names]
-    pieces = pieces.select("chrom", "s", "e", *[v.alias(n) for v, n in zip(values, names)]).filter(F.coalesce(*names).isNotNull())
-    if len(names) == 1:
-        v = F.col(names[0])
-    elif how == "max":
-        v = F.greatest(*names)
-    else:
-        v = reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0.0)) for n in names])
-    return pieces.select("chrom", "s", "e", v.alias("v"))
+    left = cuts.select("chrom", "_b", "pos", *[F.last(n, True).over(upto).alias(n) for n in state]).join(strides, ["chrom", "_b"])
+    pieces = left.select("chrom", "_b", "pos", now({n: F.coalesce(n, f"_{n}") for n in state}).alias("v"), now({n: F.col(f"_{n}") for n in state}).alias("_v"))
+    before = F.when(F.lag(F.lit(1)).over(inside).isNull(), F.col("_v")).otherwise(F.lag("v").over(inside))
+    changes = pieces.select("chrom", "_b", "pos", "v", before.alias("_v")).filter(~F.col("v").eqNullSafe(F.col("_v"))).drop("_v")
+    firsts = changes.groupBy("chrom", "_b").agg(F.min("pos").alias("first")).select("chrom", "_b", F.lead("first").over(along).alias("_next"))
+    runs = changes.select("chrom", "_b", F.col("pos").alias("s"), F.lead("pos").over(inside).alias("e"), "v").join(firsts, ["chrom", "_b"])
+    return runs.filter("v is not null").select("chrom", "s", F.coalesce("e", "_next").alias("e"), "v")
 
 
 def merge(*tracks: DataFrame, how: str = "sum", clip: float | None = None, adjust: float = 0.0, threshold: float | None = 0.0, stride: int = STRIDE) -> DataFrame:
@@ -119,13 +104,14 @@ def merge(*tracks: DataFrame, how: str = "sum", clip: float | None = None, adjus
         raise ValueError("how is sum or max")
     left = [t.select("chrom", "s", "e", "v") for t in tracks]
     while len(left) > TRACKS:
-        left = [_combine(left[i : i + TRACKS], how, stride) for i in range(0, len(left), TRACKS)]
-    out = _combine(left, how, stride)
-    v = F.least("v", F.lit(float(clip))) if clip is not None else F.col("v")
-    out = out.filter("v <> 0").select("chrom", "s", "e", (v + F.lit(float(adjust))).alias("v"))
+        left = [_runs(left[i : i + TRACKS], how, lambda v: v, stride) for i in range(0, len(left), TRACKS)]
+
+    def kept(v: Column) -> Column:
+        out = (F.least(v, F.lit(float(clip))) if clip is not None else v) + F.lit(float(adjust))
+        return F.when((v != 0) & (F.lit(True) if threshold is None else out > threshold), out)
+
     # where one track ends as another of the same value begins, the sum goes on
-    out = join_runs(out, stride)
-    return out if threshold is None else out.filter(F.col("v") > threshold)
+    return _runs(left, how, kept, stride)
 
 
 def fill_gaps(track: DataFrame, start: int = 0, end: int | None = None, stride: int = STRIDE) -> DataFrame:

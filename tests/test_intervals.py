@@ -155,6 +155,14 @@ def test_merge_of_values_that_no_sum_takes_back(spark, how):
             assert [(r["s"], r["e"]) for r in got if r["chrom"] == "z"] == [(0, 300), (300, 301)]
 
 
+def test_windows_of_a_merge_look_back(spark):
+    """A frame up to the end of a stride is summed anew for each row, which takes the square of its rows."""
+    tracks = [text.from_rows(spark, random_track(s)) for s in (2, 4, 6)]
+    for how in ("sum", "max"):
+        plan = sweep.merge(*tracks, how=how)._jdf.queryExecution().executedPlan().toString()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_merge_of_many_tracks(spark):
     tracks = [text.from_rows(spark, [("c", i, i + 3, 1.0)]) for i in range(20)]
     assert [tuple(r)[1:] for r in sweep.merge(*tracks).orderBy("s").collect()] == [(0, 1, 1.0), (1, 2, 2.0), (2, 20, 3.0), (20, 21, 2.0), (21, 22, 1.0)]
