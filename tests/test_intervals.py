@@ -288,6 +288,35 @@ def test_anchored_records_against_bases(spark, size, stride):
     assert zoom.zoom_anchored(text.from_rows(spark, rows).filter("false"), size).count() == 0
 
 
+def test_passage_of_open_records():
+    """What runs make of each remainder of an open record, against a walk from each; arcs are at most the size, not two a run."""
+    rng = random.Random(1)
+    for _ in range(200):
+        size, at, s, e = rng.choice([1, 2, 7, 50]), rng.randint(-30, 30), [], []
+        for _ in range(rng.randint(1, 15)):
+            s.append(at)
+            e.append(at + rng.randint(1, rng.choice([2, 10, 120])))
+            at = e[-1] + rng.choice([1, 2, 3, rng.randint(1, 60)])
+        starts, become = zoom.passage(np.array(s), np.array(e), size)
+        assert len(starts) <= size
+        for r in range(size):
+            end = s[0] + (r - s[0]) % size
+            for x, y in zip(s, e):
+                opens = max(x, end)
+                end = opens + -(-max(y - opens, 0) // size) * size
+            to = become[np.searchsorted(starts, r, side="right") - 1]
+            assert (r if to < 0 else to) == end % size
+
+
+def test_records_are_walked_by_strides(spark):
+    """Rows without a gap as wide as a record, which were one group a chromosome, are walked in groups of a stride."""
+    rows = [("c", i * 8, i * 8 + 5, 1.0) for i in range(300)]
+    z = zoom.zoom_anchored(text.from_rows(spark, rows), 50, 64)
+    assert sorted(map(tuple, z.collect())) == brute_records(rows, 50)
+    groups = [x for x in z._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroupsInArrow" in x]
+    assert len(groups) == 3 and all("walk" not in x and "through" not in x or "_b" in x.split("]")[0] for x in groups)
+
+
 def test_levels_of_a_single_pass():
     assert zoom.choose_single_pass({160: (900, 40), 640: (400, 20), 2560: (100, 20), 10240: (30, 5)}, 1000) == [640, 10240]
 
